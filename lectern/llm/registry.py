@@ -2,4 +2,5 @@
 
 PLANS = [
     "lectern.llm.frequency_plans",
+    "lectern.llm.token_plans",
 ]
