@@ -49,9 +49,24 @@ def utf16_length(text: Column) -> Column:
     return F.char_length(text) + F.regexp_count(text, F.lit(r"[\x{10000}-\x{10FFFF}]"))
 
 
+_LINE_SPACE = SPACE_CLASS.replace(r"\n", "")
 #: Lines opening a fenced block, and table rows, inside a longer text.
-FENCE_LINE = r"(?m)^```"
-TABLE_LINE = r"(?m)^[^\S\n]*\|(?:[^\n]*\|)?[^\S\n]*$"
+FENCE_LINE = "(?md)^```"
+TABLE_LINE = rf"(?md)^{_LINE_SPACE}*\|(?:[^\n]*\|)?{_LINE_SPACE}*$"
+
+
+def estimated_tokens(text: Column) -> Column:
+    """A quarter of the UTF-16 units, and more for fence lines and table rows; null measures 0."""
+    fences, rows = F.regexp_count(text, F.lit(FENCE_LINE)), F.regexp_count(text, F.lit(TABLE_LINE))
+    return F.coalesce((F.ceil(utf16_length(text) / 4) + F.ceil(2 * fences + rows / 2)).cast("int"), F.lit(0))
+
+
+def sql_estimated_tokens(text: str) -> str:
+    units = f"length({text}) + length(regexp_replace({text}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
+    lines = f"string_split({text}, chr(10))"
+    fences = f"len(list_filter({lines}, lambda x: starts_with(x, '```')))"
+    rows = f"len(list_filter({lines}, lambda x: starts_with(trim(x, {SQL_SPACES}), '|') and ends_with(trim(x, {SQL_SPACES}), '|')))"
+    return f"coalesce(ceil(({units}) / 4)::int + ceil(2 * {fences} + {rows} / 2)::int, 0)"
 
 
 def sql_folded(text: str) -> str:
