@@ -2,5 +2,6 @@
 
 PLANS = [
     "lectern.llm.frequency_plans",
+    "lectern.llm.splitting_plans",
     "lectern.llm.token_plans",
 ]
