@@ -2,6 +2,7 @@
 
 PLANS = [
     "lectern.llm.frequency_plans",
+    "lectern.llm.lookalike_plans",
     "lectern.llm.splitting_plans",
     "lectern.llm.token_plans",
 ]
