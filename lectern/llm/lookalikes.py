@@ -49,6 +49,7 @@ KNOWN = 300_000
 CHUNK = 4_000_000
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
+_UNUSUAL = regex.compile(r"[^\x20-\x7e\n\t]+")
 
 
 @cache
@@ -74,12 +75,17 @@ def _joined(decomposition: str) -> bool:
     return len(parts) > 1 and all(unicodedata.category(p)[0] in "LM" for p in parts)
 
 
+def _fold_run(match: regex.Match) -> str:
+    run = unicodedata.normalize("NFD", match.group()).translate(compatibility_table())
+    return unicodedata.normalize("NFD", run)
+
+
 def folded(text: str) -> str:
-    """Decomposed, without characters that leave no mark, in plain forms and spaces."""
-    if text.isascii() and text.isprintable():
-        return text
-    text = unicodedata.normalize("NFD", text.replace("\r\n", "\n")).translate(compatibility_table())
-    return unicodedata.normalize("NFD", text)
+    """Decomposed, without characters that leave no mark, in plain forms and spaces.
+
+    Only runs of characters other than plain ASCII can change.
+    """
+    return _UNUSUAL.sub(_fold_run, text.replace("\r\n", "\n") if "\r" in text else text)
 
 
 @cache

@@ -5,4 +5,5 @@ PLANS = [
     "lectern.llm.lookalike_plans",
     "lectern.llm.splitting_plans",
     "lectern.llm.token_plans",
+    "lectern.llm.stuffing_plans",
 ]
