@@ -13,7 +13,7 @@ from __future__ import annotations
 import unicodedata
 import uuid
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,9 +75,16 @@ def _joined(decomposition: str) -> bool:
     return len(parts) > 1 and all(unicodedata.category(p)[0] in "LM" for p in parts)
 
 
+def _folded(run: str) -> str:
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", run).translate(compatibility_table()))
+
+
+_short_folded = lru_cache(1 << 16)(_folded)  # most runs are a letter with an accent
+
+
 def _fold_run(match: regex.Match) -> str:
-    run = unicodedata.normalize("NFD", match.group()).translate(compatibility_table())
-    return unicodedata.normalize("NFD", run)
+    run = match.group()
+    return _short_folded(run) if len(run) < 5 else _folded(run)
 
 
 def folded(text: str) -> str:

@@ -20,6 +20,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -57,8 +58,16 @@ _ROW = re.compile(r"\s*\|.*\|\s*$")
 _RULE = re.compile(r"\s*\|?\s*:?-{2,}:?\s*\|")
 
 
+def _plain(run: str) -> str:
+    return _MARKS.sub("", folded(run).translate(_SKELETON))
+
+
+_short_plain = lru_cache(1 << 16)(_plain)  # most runs are a letter with an accent
+
+
 def _plain_run(match: re.Match) -> str:
-    return _MARKS.sub("", folded(match.group()).translate(_SKELETON))
+    run = match.group()
+    return _short_plain(run) if len(run) < 5 else _plain(run)
 
 
 def plain(text: str) -> str:
@@ -116,6 +125,14 @@ class Numbers(dict):
         return self.first_class + min(len(word), LENGTHS) - 1 if word.isalpha() else -1
 
 
+class Spellings(dict):
+    """A number for each token, as they come."""
+
+    def __missing__(self, token: str) -> int:
+        self[token] = found = len(self)
+        return found
+
+
 def numbered(texts: list[str], numbers: Numbers) -> np.ndarray:
     """The numbers of all tokens, -1 between lines and texts."""
     found = _TOKEN_OR_LINE.findall("\n".join(without_hosts(plain(t)) for t in texts))
@@ -219,8 +236,8 @@ class Judge:
         segments, size = len(length), self.numbers.size
         page_of, size_of, length = np.array(page_of, np.int64), np.array(size_of, np.float64), np.array(length, np.int64)
         prose, laid_out, bare = np.array(prose, bool), np.array(laid_out, bool), np.array(bare, bool)
-        spelling: dict[str, int] = {}
-        exact = np.fromiter((spelling.setdefault(t, len(spelling)) for t in tokens), np.int64, len(tokens))
+        spelling = Spellings()
+        exact = np.fromiter(map(spelling.__getitem__, tokens), np.int64, len(tokens))
         number = np.fromiter(map(self.numbers.__getitem__, spelling), np.int64, len(spelling))[exact] if tokens else exact
         segment = np.repeat(np.arange(segments), length)
         page = page_of[segment] if segments else segment
