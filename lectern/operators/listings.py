@@ -84,3 +84,21 @@ def expanded_tokens(groups: DataFrame, tokens: DataFrame) -> DataFrame:
 def upserted(current: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """The rows of `current` with those of `changes` in place of equal keys, and the new ones added."""
     return current.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes)
+
+
+def neighbours_of_items(items: DataFrame, links: DataFrame, seeds: int = 3, most: int = 4) -> DataFrame:
+    """`call_id, path, place, seed`: notes one link away from a call's best items that the call doesn't hold yet.
+
+    Neighbours of better seeds come first, linked ones before linking ones, then
+    by path; at most `most` a call.
+    """
+    best = F.row_number().over(Window.partitionBy("call_id").orderBy(F.desc("score"), "path"))
+    paths = items.filter("path is not null and score is not null").groupBy("call_id", "path").agg(F.max("score").alias("score"))
+    chosen = paths.withColumn("rank", best).filter(F.col("rank") <= seeds).select("call_id", "rank", F.col("path").alias("seed"))
+    pairs = links.filter("path is not null and source is not null").select("source", "path").distinct()
+    out = chosen.join(pairs, F.col("seed") == F.col("source")).select("call_id", "rank", "seed", F.lit(0).alias("way"), "path")
+    back = chosen.join(pairs, F.col("seed") == F.col("path")).select("call_id", "rank", "seed", F.lit(1).alias("way"), F.col("source").alias("path"))
+    fresh = out.unionByName(back).join(paths.select("call_id", "path"), ["call_id", "path"], "left_anti")
+    first = fresh.groupBy("call_id", "path").agg(F.min(F.struct("rank", "way", "seed")).alias("x"))
+    place = F.row_number().over(Window.partitionBy("call_id").orderBy("x.rank", "x.way", "path"))
+    return first.withColumn("place", place).filter(F.col("place") <= most).select("call_id", "path", "place", "x.seed")

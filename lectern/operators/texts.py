@@ -138,3 +138,20 @@ def patched(texts: DataFrame, edits: DataFrame, key: str, text: str) -> DataFram
         .when((size >= 1024) & (new_size > 2 * size), "grows").otherwise("applied")
     )
     return both.select(key, status.alias("status"), F.sha2(F.when(status == "applied", after).otherwise(content), 256).alias("digest"))
+
+
+#: A fenced block that is closed, its language and its inside.
+FENCED = r"(?ms)^```([0-9A-Za-z]*)[ \t]*\n(.*?)^```"
+# What begins a comment line, by language.
+COMMENTS = {"python": "#", "yaml": "#", "sh": "#", "bash": "#", "sql": "--", "js": "//", "ts": "//", "java": "//", "go": "//", "rust": "//"}
+
+
+def code_blocks(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """`key, block, language, lines, comments` of closed fenced blocks; comments are lines that begin as the language's do, any `#` or `//` line where it is unknown."""
+    languages, insides = (F.regexp_extract_all(F.col(text), F.lit("(?d)" + FENCED), F.lit(n)) for n in (1, 2))
+    blocks = texts.select(key, F.posexplode(F.zip_with(languages, insides, lambda a, b: F.struct(a.alias("language"), b.alias("inside")))).alias("block", "x"))
+    lines = F.filter(F.split("x.inside", "\n"), lambda line: F.trim(line) != "")
+    begin = F.coalesce(F.create_map(*(F.lit(v) for pair in COMMENTS.items() for v in pair))[F.lower("x.language")], F.lit("?"))
+    starts = lambda line, mark: F.startswith(F.ltrim(line), mark)
+    comments = F.filter(lines, lambda line: F.when(begin == "?", starts(line, F.lit("#")) | starts(line, F.lit("//"))).otherwise(starts(line, begin)))
+    return blocks.select(key, "block", F.lower("x.language").alias("language"), F.size(lines).alias("lines"), F.size(comments).alias("comments"))

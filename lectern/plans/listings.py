@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import SQL_SPACES, sql_reference_key
-from lectern.operators import bundles, catalog, listings
+from lectern.operators import bundles, catalog, listings, texts
 from lectern.plans.analytics import _ITEMS
-from lectern.plans.catalog import KEYS, NOTES
+from lectern.plans.catalog import KEYS, LINKS, NOTES
 from lectern.sources.tables import read_table
 
 TOKENS = ["workbench", "archive folder", "vault-map"]
@@ -61,7 +61,14 @@ def upserted_tags(spark: SparkSession, directory: str) -> DataFrame:
     return listings.upserted(runs(F.min), runs(F.max).filter("count >= 0"), ["batch", "tag"])
 
 
+def neighbours_of_items(spark: SparkSession, directory: str) -> DataFrame:
+    links = catalog.resolved_links(read_table(spark, directory, "extracted_wikilink"), catalog.note_keys(_catalog(spark, directory)))
+    return listings.neighbours_of_items(bundles.latest_items(read_table(spark, directory, "context_item")), links)
+
+
 QUERIES = {
+    "neighbours_of_items": neighbours_of_items,
+    "code_blocks": lambda s, d: texts.code_blocks(_documents(s, d), "doc_id", "text"),
     "listed_entries": listed_entries,
     "listing_drift": listing_drift,
     "document_structure": lambda s, d: listings.structure(_documents(s, d), "source", "text"),
@@ -77,7 +84,19 @@ _ENTRIES = f"""lines as (select doc_id, unnest(string_split(text, chr(10))) as c
     entries as (select doc_id, line::int as line, trim(regexp_extract(content, '{listings.LISTED}', 1), {SQL_SPACES}) as target, nullif(trim(regexp_extract(content, '{listings.LISTED}', 2), {SQL_SPACES}), '') as said
       from lines where regexp_matches(content, '{listings.LISTED}'))"""
 _BY_SCORE = "row_number() over (partition by call_id order by score desc, item_id)"
+_MARK = "case lang " + " ".join(f"when '{k}' then '{v}'" for k, v in texts.COMMENTS.items()) + " end"
 SQL = {
+    "neighbours_of_items": f"""with {LINKS}, {_ITEMS}, paths as (select call_id, path, max(score) as score from items where path is not null and score is not null group by all),
+        chosen as (select call_id, path as seed, row_number() over (partition by call_id order by score desc, path) as rank from paths qualify rank <= 3),
+        near as (select call_id, rank, seed, 0 as way, p.path from chosen join pairs p on p.source = seed union all select call_id, rank, seed, 1, p.source from chosen join pairs p on p.path = seed),
+        first as (select distinct on (call_id, path) * from near n where not exists (select 1 from paths h where h.call_id = n.call_id and h.path = n.path) order by call_id, path, rank, way, seed)
+        select call_id, path, row_number() over (partition by call_id order by rank, way, path)::int as place, seed from first qualify place <= 4""",
+    "code_blocks": f"""with b as (select doc_id, regexp_extract_all(text, '{texts.FENCED}', 1) as langs, regexp_extract_all(text, '{texts.FENCED}', 2) as insides from documents),
+        u as (select doc_id, unnest(range(0, len(langs))) as block, unnest(langs) as language, unnest(insides) as inside from b),
+        l as (select doc_id, block::int as block, lower(language) as lang, list_filter(string_split(inside, chr(10)), lambda x: trim(x, ' ') <> '') as lines from u),
+        m as (select *, {_MARK} as mark from l)
+        select doc_id, block, lang as language, len(lines)::int as lines,
+          len(list_filter(lines, lambda x: case when mark is null then starts_with(ltrim(x), '#') or starts_with(ltrim(x), '//') else starts_with(ltrim(x), mark) end))::int as comments from m""",
     "listed_entries": f"with {_ENTRIES} select * from entries",
     "listing_drift": f"""with {KEYS}, {_ENTRIES}, listed as (select {sql_reference_key("target")} as key, count(*) as entries from entries group by 1)
         select key, 'dead' as kind, entries from listed where key <> '' and key not in (select key from keys)

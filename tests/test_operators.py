@@ -142,3 +142,18 @@ def test_ranking_signals(spark):
         "proximity": 40, "snippets": 2, "verified": 8, "concept": 25, "entity": 0,
     } or row.score == sum(row.signals.values())
     assert row.score == sum(row.signals.values()) and row.signals["stems"] == 35 and row.signals["title"] == 110
+
+
+def test_fields(spark):
+    from lectern.operators import fields
+
+    rows = spark.createDataFrame([(1, '{"a": "1", "b": null, "created": " "}', "x^[inferred] \x07y [[l]]"), (2, "no json", "plain"), (3, None, None)], "id long, json string, text string")
+    merged = fields.stamped(fields.merged_fields(fields.as_map(F.col("json")), F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit(None).cast("string"), F.lit("constructor"), F.lit("z"))), F.lit("now"))
+    assert [r[0] for r in rows.select(fields.flat(merged)).collect()] == ["b=2\ncreated=now\nupdated=now"] * 3
+    assert [tuple(r) for r in fields.provenance(rows, "id", "text").collect()] == [(1, 1, 0)]
+    assert [tuple(r) for r in fields.scrubbed(rows, "id", "text").collect()] == [(1, 1, "x^[inferred] y [[l]]")]
+    assert [tuple(r) for r in fields.link_places(rows, "id", "text").collect()] == [(1, 1, 17, "[[l]]")]
+    keys = spark.createDataFrame([(" C:\\a//b/ ",), ("/",)], "s string").select(fields.source_key(F.col("s"))).collect()
+    assert [r[0] for r in keys] == ["C:/a/b", "/"]
+    sizes = spark.createDataFrame([(1, 1, "x" * 10), (1, 2, "x" * 4), (1, 3, None)], "id long, v int, t string")
+    assert [(r.v, r.ratio, r.blocked) for r in fields.shrunk(sizes, "id", "v", "t").orderBy("v").collect()] == [(2, 0.4, True), (3, 0.0, True)]

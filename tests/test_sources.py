@@ -48,3 +48,14 @@ def test_link_stream_counts_once_as_files_arrive(spark, tmp_path):
     counts = links.daily_counts(links.link_stream(spark, f"{tmp_path}/in/*.parquet"))
     found = links.drained(counts, str(tmp_path)).collect()
     assert {r.day.day: (r.links, r.embeds) for r in found} == {1: (24, 12), 2: (24, 12), 3: (12, 6)}
+
+
+def test_lists_in_notes(spark):
+    from lectern.sources import lists
+
+    raw = "synonyms:\n  - [Ingest, 'load', load]\n  - load, INGEST\n  - alone\n## Sources\n- `a/b` | ingested: 2025 | pages: [[x]], [[y]]\n- other\n## Projects\n- `p` | cwd: /w"
+    rows = spark.createDataFrame([(1, raw), (2, None)], "id long, raw string")
+    groups = lists.vocabulary_groups(rows, "id", "raw").collect()
+    assert sorted(r.word for r in groups) == ["ingest", "load"] and len({r.group_id for r in groups}) == 1
+    found = [(r.section, r.entry, r.fields, r.pages) for r in lists.ledger(rows, "id", "raw").collect()]
+    assert found == [("Sources", "a/b", {"ingested": "2025", "pages": "[[x]], [[y]]"}, ["x", "y"]), ("Projects", "p", {"cwd": "/w"}, [])]
