@@ -161,7 +161,7 @@ def _prepared(features: DataFrame) -> DataFrame:
         F.transform("tags", lambda t: F.array_distinct(F.concat(F.array(t), F.split(t, r"[\-_/]")))).alias("tag_w"),
     )
     stemmed = {f"{c}_s": stems(f"{c}_w") for c in ("title", "base", "path", "summary", "surface", "body")}
-    return words.select("*", *(s.alias(c) for c, s in stemmed.items()), stems("aliases").alias("alias_s"), stems(F.flatten("tag_w")).alias("tag_s"), stems(F.flatten(F.transform("headings", words_of))).alias("heading_s"))
+    return words.select("*", *(s.alias(c) for c, s in stemmed.items()), stems("aliases").alias("alias_s"), stems(F.flatten("tag_w")).alias("tag_s"))
 
 
 def _count(tokens: str | Column, test) -> Column:  # noqa: ANN001
@@ -195,6 +195,12 @@ def rank(features: DataFrame, hits: DataFrame, queries: DataFrame, now: Column,
     title_words = _count("sem", lambda x: of(x, "title") | F.exists("title_w", lambda v: F.contains(v, x["t"])))
     path_hits = _count("sem", lambda x: F.contains(c("path_n"), x["t"]) | F.contains(c("base_n"), x["t"]) | of(x, "base") | of(x, "path"))
 
+    # a token's forms: the body's words with its stem; a line is kept with its words between single spaces
+    forms = F.transform("q", lambda x: F.struct(x["t"].alias("t"), F.when(all_size > 1, F.array_distinct(F.filter("body_w", lambda v, i: F.element_at("body_s", i + 1) == x["s"]))).otherwise(F.array().cast("array<string>")).alias("forms")))
+    spaced = lambda line: F.struct(line.alias("line"), F.concat(F.lit(" "), F.regexp_replace(line, "[^a-z0-9]+", " "), F.lit(" ")).alias("words"))
+    on_line = lambda x, line: F.contains(line["line"], x["t"]) | F.exists(x["forms"], lambda v: F.contains(line["words"], F.concat(F.lit(" "), v, F.lit(" "))))
+    rows = rows.withColumns({"forms": forms, "lines": F.transform(F.split("body", "\n"), spaced), "heading_lines": F.transform("headings", spaced)})
+
     def compound(state: Column, x: Column) -> Column:
         """Takes the first segment not yet taken that the token matches, else counts a match anywhere in the name."""
         fits = lambda v, i: ~F.array_contains(state["used"], i) & (F.contains(v, x["t"]) | (F.element_at("base_s", i + 1) == x["s"]) | (F.char_length(x["t"]) >= 4) & F.startswith(v, x["t"]))
@@ -212,8 +218,8 @@ def rank(features: DataFrame, hits: DataFrame, queries: DataFrame, now: Column,
         "exact": exact, "title_hits": title_hits, "title_words": title_words, "path_hits": path_hits, "alias_hits": alias_hits, "compound": compound_hits, "primary": primary,
         "density": F.least(F.lit(1.0), specific / F.greatest(F.size("title_w"), F.lit(1))),
         "surface_hits": _count("sem", lambda x: text(x, "surface")),
-        "heading_hits": _count("headings", lambda line: F.forall("q", lambda x: F.contains(line, x["t"]))),
-        "snippets": _count(F.split("body", "\n"), lambda line: F.exists("q", lambda x: F.contains(line, x["t"]))),
+        "heading_hits": _count("heading_lines", lambda line: F.forall("forms", lambda x: on_line(x, line))),
+        "snippets": _count("lines", lambda line: F.exists("forms", lambda x: on_line(x, line))),
         "places": F.transform("q", lambda x: F.when(F.contains(c("body"), x["t"]), F.position(x["t"], c("body"))).when(
             F.array_contains("body_s", x["s"]), F.regexp_instr(c("body"), F.concat(F.lit("(?<![a-z0-9])"), F.element_at("body_w", F.array_position("body_s", x["s"]).cast("int")), F.lit("(?![a-z0-9])"))))),
     })
@@ -224,7 +230,7 @@ def rank(features: DataFrame, hits: DataFrame, queries: DataFrame, now: Column,
     leading = p.isNotNull() & ~weak & F.exists("base_w", lambda v: F.startswith(v, p["t"]))
     tag_hits = _count("tag_w", lambda parts: F.exists("q", lambda x: word(x, parts, F.array_intersect(F.col("tag_s"), F.array(x["s"])))))
     in_summary, in_tags = F.forall("q", lambda x: text(x, "summary")), F.forall("q", lambda x: word(x, F.flatten("tag_w"), c("tag_s")) | F.exists("tags", lambda t: F.contains(t, x["t"])))
-    focused = (c("compound") >= 2) | (c("density") >= 0.4) | (c("heading_hits") > 0) | (_count("q", lambda x: F.exists("headings", lambda line: F.contains(line, x["t"])) | F.array_contains("heading_s", x["s"])) >= 2)
+    focused = (c("compound") >= 2) | (c("density") >= 0.4) | (c("heading_hits") > 0) | (F.aggregate("forms", F.lit(0), lambda n, x: n + _count("heading_lines", lambda line: on_line(x, line))) >= 2)
     span = F.array_max("places") - F.array_min("places")
     near = F.when((all_size < 2) | F.exists("places", lambda x: x.isNull()), 0)
     for most, worth in w.proximity:

@@ -136,12 +136,28 @@ def test_ranking_signals(spark):
     hits = search.search_hits(features, queries)
     assert {(r.query_id, r.note_id, r.matched, r["mode"]) for r in hits.collect()} == {(9, 1, 2, "and")}
     (row,) = search.rank(features, hits, queries, F.lit("2026-01-01").cast("timestamp")).collect()
-    # the second token matches by its stem only: one path token less, a stem affinity more, no proximity of both literals
+    # the second token matches by its stem only
     assert row.signals == {
         "title": 110, "path": 70, "compound": 96, "basename": 25, "stems": 35, "specificity": 50, "surface": 79, "summary": 35, "index_summary": 12,
-        "proximity": 40, "snippets": 2, "verified": 8, "concept": 25, "entity": 0,
-    } or row.score == sum(row.signals.values())
-    assert row.score == sum(row.signals.values()) and row.signals["stems"] == 35 and row.signals["title"] == 110
+        "headings": 10, "proximity": 40, "snippets": 2, "verified": 8, "concept": 25,
+    }
+    assert (row.score, row.place) == (597, 1)
+
+
+def test_generic_names_and_hubs(spark):
+    notes = spark.createDataFrame(
+        [(1, "log/failed-move.md", "failed-move", "Other words", None, None, None, None, "2025-01-01", "x"), (2, "index.md", "index", None, ["cutover"], None, ["Failed Cutover"], None, "bad date", "\n".join(["failed office cutover"] * 20))],
+        "note_id long, path string, basename string, title string, tags array<string>, summary string, aliases array<string>, lifecycle string, updated string, body string",
+    )
+    queries = spark.createDataFrame([(1, "failed office cutover"), (2, "failed")], "query_id long, query string")
+    features = search.search_features(notes)
+    hits = search.search_hits(features, queries)
+    assert {(r.query_id, r.note_id, r["mode"]) for r in hits.collect()} == {(1, 2, "and"), (2, 2, "and")}  # base names are ranked, not searched
+    every = spark.createDataFrame([(1, 1), (1, 2)], "query_id long, note_id long")
+    got = {r.note_id: r for r in search.rank(features, every, queries, F.lit("2026-01-01").cast("timestamp")).collect()}
+    assert got[1].signals == {"path": 30, "compound": 28, "basename": 10, "surface": 22, "stale": -6, "weak_basename": -20, "stems": 35}
+    assert got[2].signals == {"alias_tokens": 60, "surface": 44, "tags": 20, "density": -14, "hub": -12, "proximity": 40, "snippets": 4, "operational": -40}
+    assert [got[1].score, got[2].score, got[2].place] == [99, 102, 1]
 
 
 def test_fields(spark):
