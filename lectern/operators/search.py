@@ -154,16 +154,32 @@ def _segments(text: Column) -> Column:
 def _prepared(features: DataFrame) -> DataFrame:
     """Words and stems of each field that ranking compares."""
     headings = F.filter(F.split("body", "\n"), lambda line: F.regexp_like(line, F.lit(r"^#{1,6}[ \t]")))
+    # each character that is in no word becomes a space, so that a word is met between spaces at its place
+    spaced = lambda text: F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9]", " "), F.lit(" "))
+    with_words = lambda line: F.struct(line.alias("line"), spaced(line).alias("words"))
     words = features.select(
-        "*", key_of(F.col("title")).alias("title_n"), key_of(F.col("basename")).alias("base_n"), key_of(F.col("path")).alias("path_n"), headings.alias("headings"),
+        "*", spaced(F.col("body")).alias("body_words"), F.transform(F.split("body", "\n"), with_words).alias("lines"), F.transform(headings, with_words).alias("heading_lines"), key_of(F.col("title")).alias("title_n"), key_of(F.col("basename")).alias("base_n"), key_of(F.col("path")).alias("path_n"),
         _segments(F.col("title")).alias("title_w"), _segments(F.col("basename")).alias("base_w"), _segments(F.col("path")).alias("path_w"),
-        words_of(F.col("summary")).alias("summary_w"), words_of(F.col("surface")).alias("surface_w"), words_of(F.col("body")).alias("body_w"),
+        words_of(F.col("summary")).alias("summary_w"), words_of(F.col("surface")).alias("surface_w"),
         F.transform("tags", lambda t: F.array_distinct(F.concat(F.array(t), F.split(t, r"[\-_/]")))).alias("tag_w"),
     )
-    stemmed = {f"{c}_s": stems(f"{c}_w") for c in ("title", "base", "path", "summary", "surface", "body")}
+    stemmed = {f"{c}_s": stems(f"{c}_w") for c in ("title", "base", "path", "summary", "surface")}
     return words.select("*", *(s.alias(c) for c, s in stemmed.items()), stems("aliases").alias("alias_s"), stems(F.flatten("tag_w")).alias("tag_s"))
 
 
+def _forms(asked: DataFrame, features: DataFrame) -> DataFrame:
+    """`query_id, forms`: each token with the words of all bodies that share its stem; queries of one token have none.
+
+    Found once per stem, not once per note.
+    """
+    words = features.select(F.explode(words_of(F.col("body"))).alias("word")).distinct().withColumn("s", stems(F.array("word"))[0])
+    tokens = asked.select("query_id", F.size("q").alias("size"), F.posexplode("q").alias("at", "x")).select("query_id", "size", "at", "x.t", "x.s")
+    by_stem = words.join(tokens.select("s").distinct(), "s").groupBy("s").agg(F.sort_array(F.collect_set("word")).alias("found"))
+    none = F.array().cast("array<string>")
+    formed = tokens.join(by_stem, "s", "left").withColumn("forms", F.when(F.col("size") > 1, F.coalesce("found", none)).otherwise(none))
+    return formed.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "t", "s", "forms"))), lambda x: F.struct(x["t"].alias("t"), x["forms"].alias("forms"))).alias("forms"))
+
+
 def _count(tokens: str | Column, test) -> Column:  # noqa: ANN001
     return F.size(F.filter(tokens, test))
 
@@ -180,7 +196,7 @@ def rank(features: DataFrame, hits: DataFrame, queries: DataFrame, now: Column,
     asked = asked.withColumn("stems", stems("tokens")).withColumn("q", F.transform(F.arrays_zip("tokens", "stems"), lambda x: F.struct(x["tokens"].alias("t"), x["stems"].alias("s"))))
     earlier = lambda x, i: ~F.array_contains(F.transform(F.slice("q", 1, i), lambda y: y["s"]), x["s"])
     asked = asked.select("query_id", key_of(F.array_join("tokens", " ")).alias("query"), "q", F.filter("q", earlier).alias("sem"))
-    rows = hits.select("query_id", "note_id").join(asked, "query_id").join(_prepared(features), "note_id")
+    rows = hits.select("query_id", "note_id").join(asked.join(_forms(asked, features), "query_id"), "query_id").join(_prepared(features), "note_id")
     rows = rows.withColumn("expanded", F.array().cast("array<string>")) if expanded is None else rows.join(expanded, "query_id", "left").withColumn("expanded", F.coalesce("expanded", F.array()))
 
     c = F.col
@@ -195,11 +211,8 @@ def rank(features: DataFrame, hits: DataFrame, queries: DataFrame, now: Column,
     title_words = _count("sem", lambda x: of(x, "title") | F.exists("title_w", lambda v: F.contains(v, x["t"])))
     path_hits = _count("sem", lambda x: F.contains(c("path_n"), x["t"]) | F.contains(c("base_n"), x["t"]) | of(x, "base") | of(x, "path"))
 
-    # a token's forms: the body's words with its stem; a line is kept with its words between single spaces
-    forms = F.transform("q", lambda x: F.struct(x["t"].alias("t"), F.when(all_size > 1, F.array_distinct(F.filter("body_w", lambda v, i: F.element_at("body_s", i + 1) == x["s"]))).otherwise(F.array().cast("array<string>")).alias("forms")))
-    spaced = lambda line: F.struct(line.alias("line"), F.concat(F.lit(" "), F.regexp_replace(line, "[^a-z0-9]+", " "), F.lit(" ")).alias("words"))
     on_line = lambda x, line: F.contains(line["line"], x["t"]) | F.exists(x["forms"], lambda v: F.contains(line["words"], F.concat(F.lit(" "), v, F.lit(" "))))
-    rows = rows.withColumns({"forms": forms, "lines": F.transform(F.split("body", "\n"), spaced), "heading_lines": F.transform("headings", spaced)})
+    as_word = lambda v: F.nullif(F.position(F.concat(F.lit(" "), v, F.lit(" ")), c("body_words")), F.lit(0))
 
     def compound(state: Column, x: Column) -> Column:
         """Takes the first segment not yet taken that the token matches, else counts a match anywhere in the name."""
@@ -220,8 +233,7 @@ def rank(features: DataFrame, hits: DataFrame, queries: DataFrame, now: Column,
         "surface_hits": _count("sem", lambda x: text(x, "surface")),
         "heading_hits": _count("heading_lines", lambda line: F.forall("forms", lambda x: on_line(x, line))),
         "snippets": _count("lines", lambda line: F.exists("forms", lambda x: on_line(x, line))),
-        "places": F.transform("q", lambda x: F.when(F.contains(c("body"), x["t"]), F.position(x["t"], c("body"))).when(
-            F.array_contains("body_s", x["s"]), F.regexp_instr(c("body"), F.concat(F.lit("(?<![a-z0-9])"), F.element_at("body_w", F.array_position("body_s", x["s"]).cast("int")), F.lit("(?![a-z0-9])"))))),
+        "places": F.transform("forms", lambda x: F.when(F.contains(c("body"), x["t"]), F.position(x["t"], c("body"))).otherwise(F.array_min(F.transform(x["forms"], as_word)))),
     })
     p = c("primary")
     generic = p["t"].isin(GENERIC)
