@@ -6,7 +6,8 @@ strung-together search words they are not (word salad), or they are the same few
 pairs again and again (repeated collocations). A page is cut into segments; a
 segment is stuffed where its mean information, counting nothing for pairs that
 only the page itself uses or repeats excessively, is low, and it neither reads
-as sentences nor is laid out as log, code or table. A page is a case where more
+as sentences nor is laid out as log, code or table, or where it is nothing but
+links or tags. A page is a case where more
 than half of its characters stand in stuffed segments.
 
 The counts are of all pages. Words beyond the VOCABULARY most frequent ones share
@@ -38,10 +39,14 @@ CHUNK = 2_000_000
 NEAR = 8
 #: A pair is excessive from this many times in a page and this share of its pairs.
 MANY, SHARE = 3, 0.01
-#: Least mean information of any segment, and of one whose words repeat nearby as much as CROWDED.
-COHERENT, CROWDED_COHERENT = 1.5, 2.6
-#: Shares of words repeated nearby: more than lists have, more than sentences have, more than any text has.
-CROWDED, CROWDED_PROSE, FULL = 0.2, 0.3, 0.45
+#: A list is stuffed below this mean information, or below the second where so large a share of its words repeats
+#: nearby, or from the last share on.
+LIST_COHERENT, LIST_CROWDED_COHERENT, LIST_CROWDED, FULL = 2.0, 3.2, 0.2, 0.45
+#: Words of a list at least; the few tags and fields that open an honest note are fewer.
+LIST_WORDS = 14
+#: Sentences are stuffed from this share of words repeated nearby and below this mean information; the second pair holds
+#: from so many words on, for short honest sentences repeat as much.
+PROSE = ((0.28, 1.6, 2), (0.36, 2.6, 30))
 #: The share of a page's characters that makes it a case.
 HALF = 0.5
 
@@ -49,6 +54,8 @@ _SKELETON = {ord(a): b for a, b in LOOK_ALIKES.items()}
 _MARKS = regex.compile(r"\p{M}+")
 _HOST = re.compile(r"(?:https?://|www\.)[^\s/()\[\]<>]*")
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S+")
+_NOTE_LINK = re.compile(r"!?\[\[[^\]]*\]\]")
+_TAG = re.compile(r"(?<!\w)#[^\W_][\w/-]*")
 _TOKEN = re.compile(r"[^\W_]+")
 _TOKEN_OR_LINE = re.compile(r"[^\W_]+|\n")
 _UNUSUAL = re.compile(r"[^\x00-\x7f]+")
@@ -176,8 +183,17 @@ def information(counts: np.ndarray, total: np.ndarray, left: np.ndarray, right:
     return np.log(np.maximum(counts, 1e-9) / np.maximum(expected, 1e-9)).clip(0) * (counts > 0) * (total > 0)
 
 
+def is_bare(line: str) -> bool:
+    """Whether a line is nothing but addresses, note links or tags, and what stands between them."""
+    rest = line
+    for mark, pattern in (("://", _ADDRESS), ("[[", _NOTE_LINK), ("#", _TAG)):
+        if mark in rest:
+            rest = pattern.sub("", rest)
+    return rest is not line and not any(c.isalnum() for c in rest)
+
+
 def segments_of(text: str) -> tuple[list[list[str]], list[int], list[bool], list[bool], list[bool]]:
-    """A page's segments: tokens, characters, whether it reads as sentences, has a fixed layout, is bare links.
+    """A page's segments: tokens, characters, whether it reads as sentences, has a fixed layout, is bare links or tags.
 
     A line with a full stop is a segment; lines without, one after another, are
     one. Headings and blank lines are left out.
@@ -194,7 +210,7 @@ def segments_of(text: str) -> tuple[list[list[str]], list[int], list[bool], list
             continue
         fixed = fenced or bool(_LOG.match(line)) or bool(_ROW.match(line)) and (bool(_RULE.match(line)) or any(c.isdigit() for c in line) or i + 1 < len(lines) and bool(_RULE.match(lines[i + 1])))
         tokens = _TOKEN.findall(without_hosts(line))
-        linked = "://" in line and not any(c.isalpha() for c in _ADDRESS.sub("", line))
+        linked = is_bare(line)
         stops = 0 if fixed or linked else len(_STOP.findall(line))
         reads = stops > 0 and len(tokens) < 40 * stops
         if open_ and not reads and not fixed and not linked and not bare[-1]:
@@ -262,8 +278,8 @@ class Judge:
             near[back:] |= (exact[back:] == exact[:-back]) & (segment[back:] == segment[:-back])
         crowded = np.bincount(segment[near & word], minlength=segments) / np.maximum(many, 1)
         # verdicts
-        in_prose = (crowded >= CROWDED_PROSE) & (mean < CROWDED_COHERENT) | (crowded >= CROWDED) & (mean < COHERENT)
-        in_list = (mean < COHERENT) | (crowded >= CROWDED) & (mean < CROWDED_COHERENT) | (crowded >= FULL)
+        in_prose = np.any([(crowded >= near_share) & (mean < low) & (many >= words) for near_share, low, words in PROSE], 0)
+        in_list = (many >= LIST_WORDS) & ((mean < LIST_COHERENT) | (crowded >= LIST_CROWDED) & (mean < LIST_CROWDED_COHERENT) | (crowded >= FULL))
         loose = np.where(prose, in_prose, in_list)
         wordy = (many >= 2) & (size_of <= 24 * np.maximum(many, 1) + 40)
         stuffed = ~laid_out & (bare | loose & wordy)
