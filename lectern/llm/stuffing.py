@@ -10,16 +10,14 @@ as sentences nor is laid out as log, code or table, or where it is nothing but
 links or tags. A page is a case where more
 than half of its characters stand in stuffed segments.
 
-The counts are of all pages. Words beyond the VOCABULARY most frequent ones share
-classes by length, so the pair table is VOCABULARY squared at most, whatever the
-corpus, and is what is broadcast.
+The counts are of all pages and of all words, however rare. They stay rows: a
+page's distinct pairs meet them in a join, and only pairs of segments whose verdict
+hangs on them take part. Nothing is broadcast or gathered but the number of pairs.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -30,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.lookalikes import LOOK_ALIKES, folded
+from lectern.sources.tables import cut_lineage
 
-#: Words with a row of their own in the pair table, and classes by length of all others.
-VOCABULARY, LENGTHS = 2048, 16
 #: Characters handled at once.
 CHUNK = 2_000_000
+#: Pairs a task holds at most before it adds them up.
+PAIRS_HELD = 8_000_000
 #: Words back in which a repeated word counts as near.
 NEAR = 8
 #: A pair is excessive from this many times in a page and this share of its pairs.
@@ -99,88 +98,58 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
             yield batch, begin, own
 
 
-def count_words(documents: DataFrame) -> DataFrame:
-    """`word, n` over all texts; each task adds up before rows are shuffled."""
-
-    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
-        for _, _, texts in _chunks(batches, 0):
-            for text in texts:
-                counts.update(_TOKEN.findall(without_hosts(plain(text))))
-            if len(counts) > 1_000_000:
-                yield _word_rows(counts)
-                counts = Counter()
-        yield _word_rows(counts)
-
-    return documents.select("text").mapInArrow(per_task, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _word_rows(counts: Counter[str]) -> pa.RecordBatch:
-    words = {w: n for w, n in counts.items() if w.isalpha()}
-    return pa.RecordBatch.from_arrays([pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())], names=["word", "n"])
-
-
-class Numbers(dict):
-    """The number of each token: a word's own, or that of its length's class; -1 for what is no word."""
-
-    def __init__(self, words: list[str]) -> None:
-        super().__init__({w: i for i, w in enumerate(words)} | {"\n": -1})
-        self.size = len(words) + LENGTHS
-        self.first_class = len(words)
-
-    def __missing__(self, word: str) -> int:
-        return self.first_class + min(len(word), LENGTHS) - 1 if word.isalpha() else -1
-
-
 class Spellings(dict):
-    """A number for each token, as they come."""
+    """A number for each word, as they come; -1 for what is no word."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.words: list[str] = []
 
     def __missing__(self, token: str) -> int:
-        self[token] = found = len(self)
+        self[token] = found = len(self.words) if token.isalpha() else -1
+        if found >= 0:
+            self.words.append(token)
         return found
 
 
-def numbered(texts: list[str], numbers: Numbers) -> np.ndarray:
-    """The numbers of all tokens, -1 between lines and texts."""
-    found = _TOKEN_OR_LINE.findall("\n".join(without_hosts(plain(t)) for t in texts))
-    return np.fromiter(map(numbers.__getitem__, found), np.int64, len(found))
+def _numbers(tokens: list[str], spellings: Spellings) -> np.ndarray:
+    return np.fromiter(map(spellings.__getitem__, tokens), np.int64, len(tokens))
 
 
-def count_word_pairs(documents: DataFrame, words: list[str]) -> np.ndarray:
-    """The square matrix of how often one word follows another, over all texts."""
-    size = len(words) + LENGTHS
+def count_word_pairs(documents: DataFrame) -> DataFrame:
+    """`left, right, n`: how often one word follows another on a line, over all texts; each task adds up before rows are shuffled."""
+
+    def rows(spellings: Spellings, pairs: list[np.ndarray]) -> pa.RecordBatch:
+        found, n = np.unique(np.concatenate(pairs), return_counts=True)
+        words = pa.array(spellings.words, pa.string())
+        return pa.RecordBatch.from_arrays([words.take(pa.array(found >> 32)), words.take(pa.array(found & 0xFFFFFFFF)), pa.array(n, pa.int64())], names=["left", "right", "n"])
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(words)
-        counts = np.zeros(size * size, np.int64)
+        spellings, pairs, size = Spellings(), [], 0
         for _, _, texts in _chunks(batches, 0):
-            own = numbered(texts, numbers)
+            own = _numbers(_TOKEN_OR_LINE.findall("\n".join(without_hosts(plain(t)) for t in texts)), spellings)
             left, right = own[:-1], own[1:]
             both = (left >= 0) & (right >= 0)
-            counts += np.bincount(left[both] * size + right[both], minlength=size * size)
-        for row in np.flatnonzero(counts.reshape(size, size).any(1)):
-            at = np.flatnonzero(counts[row * size : (row + 1) * size])
-            own = counts[row * size + at]
-            yield pa.RecordBatch.from_arrays([pa.array([row], pa.int32()), pa.array([at.astype(np.int32).tobytes()]), pa.array([own.astype(np.int64).tobytes()])], names=["row", "at", "n"])
+            pairs.append(left[both] << 32 | right[both])
+            size += len(pairs[-1])
+            if size > PAIRS_HELD or len(spellings) > 1_000_000:
+                yield rows(spellings, pairs)
+                spellings, pairs, size = Spellings(), [], 0
+        if size:
+            yield rows(spellings, pairs)
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(size, np.int64)
-        for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
-            total[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int64)
-        at = np.flatnonzero(total)
-        return pa.table({"row": pa.array([table.column("row")[0].as_py()], pa.int32()), "at": pa.array([at.astype(np.int32).tobytes()]), "n": pa.array([total[at].tobytes()])})
+    return documents.select("text").mapInArrow(per_task, "left string, right string, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
-    shape = "row int, at binary, n binary"
-    matrix = np.zeros((size, size), np.int64)
-    for row, at, n in documents.select("text").mapInArrow(per_task, shape).groupBy("row").applyInArrow(add, shape).collect():  # at most `size` rows
-        matrix[row, np.frombuffer(at, np.int32)] = np.frombuffer(n, np.int64)
-    return matrix
 
+def expected_pairs(pairs: DataFrame) -> DataFrame:
+    """`left, right, n, expected` of the pairs met twice or more: how often they would meet by chance.
 
-def information(counts: np.ndarray, total: np.ndarray, left: np.ndarray, right: np.ndarray, all_pairs: float) -> np.ndarray:
-    """Pointwise mutual information where positive, else 0; 0 for pairs never counted."""
-    expected = left * right / all_pairs
-    return np.log(np.maximum(counts, 1e-9) / np.maximum(expected, 1e-9)).clip(0) * (counts > 0) * (total > 0)
+    A pair met once is met on one page only and informs of nothing there.
+    """
+    by_left, by_right = (pairs.groupBy(side).agg(F.sum("n").alias(f"of_{side}")) for side in ("left", "right"))
+    all_pairs = pairs.agg(F.sum("n").cast("double")).first()[0] or 1.0
+    often = pairs.filter("n > 1").join(by_left, "left").join(by_right, "right")
+    return often.select("left", "right", "n", (F.col("of_left").cast("double") * F.col("of_right") / all_pairs).alias("expected"))
 
 
 def is_bare(line: str) -> bool:
@@ -226,99 +195,124 @@ def segments_of(text: str) -> tuple[list[list[str]], list[int], list[bool], list
     return words, sizes, prose, laid_out, bare
 
 
-class Judge:
-    """Judges pages by the corpus model; one per worker and model."""
-
-    def __init__(self, words: list[str], counts: np.ndarray) -> None:
-        self.numbers = Numbers(words)
-        self.counts = counts
-        self.left, self.right = counts.sum(1).astype(np.float64), counts.sum(0).astype(np.float64)
-        self.total = max(float(counts.sum()), 1.0)
-
-    def shares(self, texts: list[str]) -> np.ndarray:
-        """Of each text the share of its characters in stuffed segments."""
-        tokens: list[str] = []
-        page_of, size_of, prose, laid_out, bare, length = [], [], [], [], [], []
-        for page, text in enumerate(texts):
-            words, sizes, *flags = segments_of(text)
-            for own in words:
-                tokens += own
-                length.append(len(own))
-            page_of += [page] * len(words)
-            size_of += sizes
-            prose += flags[0]
-            laid_out += flags[1]
-            bare += flags[2]
-        segments, size = len(length), self.numbers.size
-        page_of, size_of, length = np.array(page_of, np.int64), np.array(size_of, np.float64), np.array(length, np.int64)
-        prose, laid_out, bare = np.array(prose, bool), np.array(laid_out, bool), np.array(bare, bool)
-        spelling = Spellings()
-        exact = np.fromiter(map(spelling.__getitem__, tokens), np.int64, len(tokens))
-        number = np.fromiter(map(self.numbers.__getitem__, spelling), np.int64, len(spelling))[exact] if tokens else exact
-        segment = np.repeat(np.arange(segments), length)
-        page = page_of[segment] if segments else segment
-        word = number >= 0
-        many = np.bincount(segment[word], minlength=segments)
-        # pairs
-        pair = word[:-1] & word[1:] & (segment[:-1] == segment[1:])
-        a, b = number[:-1][pair], number[1:][pair]
-        of_segment, of_page = segment[:-1][pair], page[:-1][pair]
-        _, kind, times = np.unique((of_page * (len(spelling) + 1) + exact[:-1][pair]) * (len(spelling) + 1) + exact[1:][pair], return_inverse=True, return_counts=True)
-        own_exact = times[kind] if len(kind) else kind
-        _, kind, times = np.unique((of_page * size + a) * size + b, return_inverse=True, return_counts=True)
-        own = times[kind] if len(kind) else kind
-        pairs_of_page = np.bincount(of_page, minlength=len(texts))
-        excessive = (own_exact >= MANY) & (own_exact >= SHARE * pairs_of_page[of_page])
-        gain = information(self.counts[a, b] - own, self.counts[a, b], self.left[a], self.right[b], self.total) * ~excessive
-        pairs = np.bincount(of_segment, minlength=segments)
-        mean = np.bincount(of_segment, gain, segments) / np.maximum(pairs, 1)
-        # near repetition
-        near = np.zeros(len(exact), bool)
-        for back in range(1, NEAR + 1):
-            near[back:] |= (exact[back:] == exact[:-back]) & (segment[back:] == segment[:-back])
-        crowded = np.bincount(segment[near & word], minlength=segments) / np.maximum(many, 1)
-        # verdicts
-        in_prose = np.any([(crowded >= near_share) & (mean < low) & (many >= words) for near_share, low, words in PROSE], 0)
-        in_list = (many >= LIST_WORDS) & ((mean < LIST_COHERENT) | (crowded >= LIST_CROWDED) & (mean < LIST_CROWDED_COHERENT) | (crowded >= FULL))
-        loose = np.where(prose, in_prose, in_list)
-        wordy = (many >= 2) & (size_of <= 24 * np.maximum(many, 1) + 40)
-        stuffed = ~laid_out & (bare | loose & wordy)
-        whole = np.bincount(page_of, size_of, len(texts))
-        self.last = (page_of, size_of, prose, laid_out, bare, many, mean, crowded, stuffed)
-        return np.bincount(page_of, size_of * stuffed, len(texts)) / np.maximum(whole, 1)
-
-
-_judges: dict[str, Judge] = {}
-
-
-def worker_judge(shared: object) -> Judge:
-    model = shared.value
-    if model["id"] not in _judges:
-        _judges.clear()
-        _judges[model["id"]] = Judge(model["words"], model["counts"])
-    return _judges[model["id"]]
-
-
-def stuffed_shares(documents: DataFrame) -> DataFrame:
+def judged(texts: list[str], decide: float | None = None) -> pa.RecordBatch:
+    """`sure, whole, open, pairs` of each text: what is known of its segments without counts of the corpus.
+
+    sure: characters of segments that are stuffed whatever their information is;
+    whole: all characters; open: `segment, size, below` of those that are stuffed
+    below a mean information; pairs: `segment, left, right, weight, own`, their
+    pairs with the share of the segment's pairs and how often the page has them,
+    without excessive ones. With `decide`, pages on one side of that share
+    whatever the information is have no open segments.
+    """
+    tokens: list[str] = []
+    page_of, size_of, prose, laid_out, bare, length = [], [], [], [], [], []
+    for page, text in enumerate(texts):
+        words, sizes, *flags = segments_of(text)
+        for own in words:
+            tokens += own
+            length.append(len(own))
+        page_of += [page] * len(words)
+        size_of += sizes
+        prose += flags[0]
+        laid_out += flags[1]
+        bare += flags[2]
+    segments, pages = len(length), len(texts)
+    page_of, size_of, length = np.array(page_of, np.int64), np.array(size_of, np.float64), np.array(length, np.int64)
+    prose, laid_out, bare = np.array(prose, bool), np.array(laid_out, bool), np.array(bare, bool)
+    spellings = Spellings()
+    number = _numbers(tokens, spellings)
+    segment = np.repeat(np.arange(segments), length)
+    word = number >= 0
+    many = np.bincount(segment[word], minlength=segments)
+    # pairs
+    pair = word[:-1] & word[1:] & (segment[:-1] == segment[1:])
+    of_segment, code = segment[:-1][pair], number[:-1][pair] * len(spellings.words) + number[1:][pair]
+    pairs = np.bincount(of_segment, minlength=segments)
+    # near repetition
+    near = np.zeros(len(number), bool)
+    for back in range(1, NEAR + 1):
+        near[back:] |= (number[back:] == number[:-back]) & (segment[back:] == segment[:-back])
+    crowded = np.bincount(segment[near & word], minlength=segments) / np.maximum(many, 1)
+    # the mean information below which a segment is stuffed
+    in_prose = np.max([np.where((crowded >= near_share) & (many >= words), low, 0) for near_share, low, words in PROSE], 0)
+    in_list = np.where(many < LIST_WORDS, 0, np.where(crowded >= FULL, np.inf, np.where(crowded >= LIST_CROWDED, max(LIST_COHERENT, LIST_CROWDED_COHERENT), LIST_COHERENT)))
+    wordy = (many >= 2) & (size_of <= 24 * np.maximum(many, 1) + 40)
+    below = np.where(laid_out, 0, np.where(bare, np.inf, np.where(prose, in_prose, in_list) * 1.0))
+    below = np.where(wordy | bare, below, 0)
+    below = np.where((below > 0) & (pairs == 0), np.inf, below)
+    sure, whole = (np.bincount(page_of, size_of * chosen, pages) for chosen in (np.isinf(below), True))
+    open_ = (below > 0) & np.isfinite(below)
+    if decide is not None:
+        most = sure + np.bincount(page_of, size_of * open_, pages)
+        limit = decide * np.maximum(whole, 1)
+        open_ &= ((sure <= limit) & (most > limit))[page_of] if segments else open_
+    # how often each pair stands on its page, and on its segment
+    wanted = np.zeros(pages, bool)
+    wanted[page_of[open_]] = True
+    kept = wanted[page_of[of_segment]]
+    of_segment, code = of_segment[kept], code[kept]
+    order = np.lexsort((code, page_of[of_segment]))
+    of_segment, code = of_segment[order], code[order]
+    of_page = page_of[of_segment]
+    first = np.append(True, (code[1:] != code[:-1]) | (of_page[1:] != of_page[:-1]))[: len(code)]
+    run = np.cumsum(first) - 1
+    own = np.bincount(run)[run] if len(run) else run
+    pairs_of_page = np.bincount(of_page, minlength=pages)
+    chosen = np.flatnonzero(open_[of_segment] & ~((own >= MANY) & (own >= SHARE * pairs_of_page[of_page])))
+    seg, cod, own = of_segment[chosen], code[chosen], own[chosen]
+    order = np.lexsort((cod, seg))
+    seg, cod, own = seg[order], cod[order], own[order]
+    begin = np.flatnonzero(np.append(True, (cod[1:] != cod[:-1]) | (seg[1:] != seg[:-1]))[: len(cod)])
+    times = np.diff(np.append(begin, len(cod)))
+    seg, cod, own = seg[begin], cod[begin], own[begin]
+    words = pa.array(spellings.words, pa.string())
+    vocabulary = max(len(spellings.words), 1)
+    at = np.flatnonzero(open_)
+
+    def listed(owner: np.ndarray, **columns: object) -> pa.ListArray:
+        bounds = np.searchsorted(owner, np.arange(pages + 1)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], list(columns)))
+
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(sure), pa.array(whole), listed(page_of[at], segment=at, size=size_of[at], below=below[at]),
+            listed(page_of[seg], segment=seg, left=words.take(pa.array(cod // vocabulary)), right=words.take(pa.array(cod % vocabulary)), weight=times / pairs[seg], own=own.astype(np.int64)),
+        ],
+        names=["sure", "whole", "open", "pairs"],
+    )
+
+
+_JUDGED = "sure double, whole double, open array<struct<segment: long, size: double, below: double>>, pairs array<struct<segment: long, left: string, right: string, weight: double, own: long>>"
+
+
+def stuffed_shares(documents: DataFrame, decide: float | None = None) -> DataFrame:
     """`doc_id, share` of every row: the share of the text's characters that stand in stuffed segments.
 
-    Defined cases: null, empty and blank texts have the share 0; every copy of a
-    text has the same share; doc_ids may repeat or be null; other columns are
-    ignored; an empty table gives no rows.
+    With `decide` shares are right only as to whether they exceed it, which takes
+    less work. Defined cases: null, empty and blank texts have the share 0; every
+    copy of a text has the same share; doc_ids may repeat or be null; other columns
+    are ignored; an empty table gives no rows.
     """
-    words = [r.word for r in count_words(documents).orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()]
-    counts = count_word_pairs(documents, words)
-    shared = documents.sparkSession.sparkContext.broadcast({"id": uuid.uuid4().hex, "words": words, "counts": counts.astype(np.float32)})
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = worker_judge(shared)
         for batch, begin, texts in _chunks(batches, 1):
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array(judge.shares(texts), pa.float64())], names=["doc_id", "share"])
+            found = judged(texts, decide)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), *found.columns], names=["doc_id", *found.schema.names])
 
-    return documents.select("doc_id", "text").mapInArrow(per_batch, f"doc_id {kind}, share double")
+    rows = documents.select("doc_id", "text").mapInArrow(per_batch, f"doc_id {kind}, {_JUDGED}")
+    pages = cut_lineage(rows.withColumn("page", F.monotonically_increasing_id()))  # read twice, by the same numbers
+    known = expected_pairs(cut_lineage(count_word_pairs(documents)))  # read four times
+    met = pages.select("page", F.inline("pairs")).join(known, ["left", "right"]).filter("n > own")
+    gain = F.greatest(F.log((F.col("n") - F.col("own")) / F.col("expected")), F.lit(0.0))
+    means = met.groupBy("page", "segment").agg(F.sum(F.col("weight") * gain).alias("mean"))
+    judged_segments = pages.select("page", F.inline("open")).join(means, ["page", "segment"], "left")
+    more = judged_segments.filter(F.coalesce("mean", F.lit(0.0)) < F.col("below")).groupBy("page").agg(F.sum("size").alias("more"))
+    share = (F.col("sure") + F.coalesce("more", F.lit(0.0))) / F.greatest("whole", F.lit(1.0))
+    return pages.select("page", "doc_id", "sure", "whole").join(more, "page", "left").select("doc_id", share.alias("share"))
 
 
 def stuffed_pages(documents: DataFrame) -> DataFrame:
     """`doc_id` of the pages more than half of which is stuffed."""
-    return stuffed_shares(documents).filter(F.col("share") > HALF).select("doc_id")
+    return stuffed_shares(documents, HALF).filter(F.col("share") > HALF).select("doc_id")

@@ -269,3 +269,19 @@ def test_stuffed_pages_agree_with_readers(spark):
     found = {r.doc_id for r in stuffing.stuffed_pages(spark.read.parquet(f"{directory}/documents.parquet")).collect()}
     votes = spark.read.parquet(f"{directory}/doc_label.parquet").groupBy("doc_id").agg(F.sum(F.when(F.lower(F.trim("label")) == "spam", 1).when(F.lower(F.trim("label")) == "ok", -1).otherwise(0)).alias("n")).filter("n <> 0").collect()
     assert sum((r.n > 0) == (r.doc_id in found) for r in votes) >= 0.95 * len(votes)
+
+
+def test_rare_words_count_as_themselves(spark):
+    random.seed(8)
+    made = ["".join(x) for x in itertools.product(("ba", "do", "fe", "gi", "ku", "la", "mo"), repeat=4)]
+    random.shuffle(made)
+    common, phrases = made[:2200], [made[i : i + 6] for i in range(2200, 2398, 6)]
+    pages = [" ".join(common[i : i + 40]) for i in range(0, 2200, 40) for _ in range(12)]
+    pages += [" ".join(sum(phrases[i : i + 3], [])) for i in range(0, 33, 3) for _ in range(4)]
+    loose = sum(phrases[:3], [])
+    random.shuffle(loose)
+    rows = list(enumerate(pages)) + [(9001, " ".join(sum(phrases[:3], []))), (9002, " ".join(loose))]
+    got = {r.doc_id: r.share for r in stuffing.stuffed_shares(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCUMENTS)).collect()}
+    assert got[9001] == 0 and got[9002] == 1
+    found = stuffing.stuffed_pages(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCUMENTS)).collect()
+    assert {r.doc_id for r in found} == {i for i, s in got.items() if s > 0.5}
