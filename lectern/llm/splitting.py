@@ -110,10 +110,12 @@ def successors(kind: np.ndarray, weight: np.ndarray, text_end: np.ndarray, slack
         good = ~chosen & (found > own) & (weight[np.maximum(found, 0)] - weight >= LEAST_SHARE * most)
         end[good] = found[good]
         chosen |= good
-    # the next start: the first word boundary that repeats no more than the overlap
+    # the next start: the first word boundary that repeats no more than the overlap, else the first boundary of any kind
     back = np.searchsorted(weight, weight[end] - (4 * overlap - slack), "left")
     next_word = len(kind) - 1 - _last_with((kind >= _WORD)[::-1])[::-1]
-    start = np.minimum(next_word[np.minimum(back, len(kind) - 1)], end)
+    back = np.minimum(back, len(kind) - 1)
+    start = next_word[back]
+    start = np.where(start < end, start, np.minimum(np.maximum(back, own + 1), end))
     start = np.where(start > own, start, end)
     return end, np.where(end >= text_end, own, start)
 

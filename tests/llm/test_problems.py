@@ -146,6 +146,14 @@ def test_cut_extremes_and_natural_places():
     assert text[first[3] :].startswith("# Two") and splitting.KINDS[first[4]] == "heading"
 
 
+def test_unbroken_runs_overlap():
+    for text in ("a" * 20_000, "\U0001f600" * 9_000, "words before " * 30 + "b" * 9_000 + " words after" * 30, "é" * 9_000):
+        check_cut([text], 512, 64)
+        cuts = list(splitting.cut([text], 512, 64))
+        repeated = [measure(text[b[2] : a[3]]) for a, b in itertools.pairwise(cuts) if splitting.KINDS[a[4]] == "character"]
+        assert repeated and min(repeated) >= 60
+
+
 def test_split_defined_cases(spark):
     rows = [(1, None), (2, ""), (3, "short"), (4, "word " * 1000), (4, "word " * 1000), (None, "x " * 5000)]
     got = splitting.split_texts(spark.createDataFrame([(k, t, 1) for k, t in rows], "key long, content string, piece int")).collect()
