@@ -12,14 +12,19 @@ from lectern.sources.tables import read_table
 
 
 def _notes(spark: SparkSession, directory: str) -> DataFrame:
-    """Current notes; the body is the note's longest section."""
+    """Current notes; the body is all sections of the note in order of their lines."""
     notes = catalog.current_catalog(read_table(spark, directory, "vault_note"))
-    longest = read_table(spark, directory, "section_slice").groupBy(F.col("note_path").alias("path")).agg(F.max_by("content", F.struct(F.char_length("content"), F.col("section_id"))).alias("body"))
-    return notes.join(longest, "path", "left")
+    once = read_table(spark, directory, "section_slice").filter("content is not null").select("note_path", "start_line", "section_id", "content").distinct()
+    ordered = F.sort_array(F.collect_list(F.struct("start_line", "section_id", "content")))
+    bodies = once.groupBy(F.col("note_path").alias("path")).agg(F.array_join(F.transform(ordered, lambda x: x["content"]), "\n").alias("body"))
+    return notes.join(bodies, "path", "left")
 
 
-def _features(spark: SparkSession, directory: str) -> DataFrame:
-    return search.search_features(_notes(spark, directory))
+def _longest(spark: SparkSession, directory: str) -> DataFrame:
+    """Current notes; the body is the note's longest section, as the SQL of search_literal has it."""
+    notes = catalog.current_catalog(read_table(spark, directory, "vault_note"))
+    longest = read_table(spark, directory, "section_slice").groupBy(F.col("note_path").alias("path")).agg(F.max_by("content", F.struct(F.char_length("content"), F.col("section_id"))).alias("body"))
+    return notes.join(longest, "path", "left")
 
 
 def _queries(spark: SparkSession, directory: str) -> DataFrame:
@@ -34,11 +39,11 @@ def query_tokens(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def search_literal(spark: SparkSession, directory: str) -> DataFrame:
-    return search.search_hits(_features(spark, directory), _queries(spark, directory), stemmed=False)
+    return search.search_hits(search.search_features(_longest(spark, directory)), _queries(spark, directory), stemmed=False)
 
 
 def search_ranked(spark: SparkSession, directory: str) -> DataFrame:
-    features, queries = _features(spark, directory), _queries(spark, directory)
+    features, queries = search.search_features(_notes(spark, directory)), _queries(spark, directory)
     ranked = search.rank(features, search.search_hits(features, queries), queries, F.lit("2026-01-01").cast("timestamp"))
     return ranked.filter("place <= 20").withColumn("signals", F.to_json("signals"))
 

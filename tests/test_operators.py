@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lectern.functions.stems import stem
 from lectern.functions.text import estimated_tokens, folded, key_of, reference_key
 from lectern.operators import bundles, catalog, measures, rules, search, texts, versions
+from lectern.plans import search as search_plans
+from tests.conftest import SMALL
 
 
 def test_text_functions(spark):
@@ -84,6 +86,13 @@ def test_filled_against_greedy(spark, rows):
     assert sorted(r.item_id for r in bundles.filled(frame, 100).collect()) == sorted(greedy(items, 100))
 
 
+def test_ranked_search_reads_all_sections(spark):
+    notes = search_plans._notes(spark, SMALL)
+    bodies = {r.path: (r.note_id, r.body or "") for r in notes.collect()}
+    sections = {(r.note_path, r.content) for r in spark.read.parquet(f"{SMALL}/section_slice.parquet").collect() if r.content and r.note_path in bodies}
+    assert all(content in bodies[path][1] for path, content in sections)
+
+
 def test_similar_texts_against_all_pairs(spark):
     random.seed(2)
     base = [" ".join(random.choices("a b c d e f g h".split(), k=40)) for _ in range(8)]
