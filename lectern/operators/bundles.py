@@ -55,16 +55,31 @@ def bundle_quality(items: DataFrame, budget: int = BUDGET) -> DataFrame:
     return by.select("call_id", "items", "tokens", "body_tokens", (F.col("tokens") / budget).alias("fill"), share.alias("depth"))
 
 
+def _shingle_sets(texts: DataFrame, key: str, text: str) -> DataFrame:
+    worded = texts.select(key, words_of(F.col(text)).alias("words")).filter("size(words) > 0")
+    return worded.select(key, F.sort_array(F.transform(shingles(F.col("words")), lambda s: F.xxhash64(s))).alias("set"))
+
+
+def shingle_classes(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """`key, class` of each text with words: the least key of the texts with an equal set of five-word shingles.
+
+    With the pairs of `similar_texts`, which name classes, these give all similar
+    texts: members of one class are as similar as can be.
+    """
+    sets = _shingle_sets(texts, key, text)
+    return sets.join(sets.groupBy("set").agg(F.min(key).alias("class")), "set").select(key, "class")
+
+
 def similar_texts(texts: DataFrame, key: str, text: str, similar: float = SIMILAR) -> DataFrame:
     """`one, other, similarity`, one < other: distinct texts whose five-word shingles overlap (Jaccard) by `similar` or more.
 
-    Equal shingle sets are one class, named by its least key. Two sets that
+    Equal shingle sets are one class, named by its least key (its members:
+    `shingle_classes`). Two sets that
     similar share a shingle among the rarest few of each, so classes meet in a
     join on those; every pair is then measured in full. Texts without words are
     in no pair.
     """
-    worded = texts.select(key, words_of(F.col(text)).alias("words")).filter("size(words) > 0")
-    sets = worded.select(key, F.sort_array(F.transform(shingles(F.col("words")), lambda s: F.xxhash64(s))).alias("set"))
+    sets = _shingle_sets(texts, key, text)
     classes = cut_lineage(sets.groupBy("set").agg(F.min(key).alias("id")).withColumn("size", F.size("set")))  # read five times
     members = classes.select("id", "size", F.explode("set").alias("shingle"))
     counted = members.groupBy("shingle").agg(F.count("*").alias("n"))

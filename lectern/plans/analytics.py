@@ -50,6 +50,11 @@ def similar_sections(spark: SparkSession, directory: str) -> DataFrame:
     return bundles.similar_texts(_sections(spark, directory), "section_id", "content").withColumn("similarity", F.round("similarity", 9))
 
 
+def section_classes(spark: SparkSession, directory: str) -> DataFrame:
+    """The members of the classes that similar_sections names."""
+    return bundles.shingle_classes(_sections(spark, directory), "section_id", "content")
+
+
 def note_findings(spark: SparkSession, directory: str) -> DataFrame:
     found = health.findings(_catalog(spark, directory), F.lit("2026-01-01").cast("timestamp"))
     return found.withColumn("missing", F.array_join("missing", ","))
@@ -123,6 +128,7 @@ QUERIES = {
     "filled_bundles": lambda s, d: bundles.filled(_items(s, d)),
     "bundle_quality": lambda s, d: bundles.bundle_quality(_items(s, d)),
     "similar_sections": similar_sections,
+    "section_classes": section_classes,
     "note_findings": note_findings,
     "health_counts": lambda s, d: health.counts(health.findings(_catalog(s, d), F.lit("2026-01-01").cast("timestamp"))),
     "character_findings": character_findings,
@@ -181,6 +187,9 @@ SQL = {
         c as (select min(section_id) as id, s, len(s) as n from s group by s), m as (select id, n, unnest(s) as g from c),
         j as (select a.id as one, b.id as other, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as similarity from m a join m b on a.g = b.g and a.id < b.id group by a.id, b.id)
         select one, other, round(similarity, 9) as similarity from j where similarity >= 0.8""",
+    "section_classes": f"""with {_SECTIONS}, w as (select section_id, regexp_extract_all(lower(content), '[a-z0-9]+') as w from sections where content is not null),
+        s as (select section_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) as s from w where len(w) > 0)
+        select section_id, min(section_id) over (partition by s) as class from s""",
     "note_findings": _FOUND + " select * from found",
     "health_counts": _FOUND + " select count(*) as notes, count(*) filter (where missing <> '') as incomplete, count(*) filter (where stale_days > 90) as stale, count(*) filter (where stale_days is null) as undated, count(*) filter (where long_summary) as long_summaries, count(*) filter (where operational) as operational from found",
     "character_findings": f"""with {_DEFS}, c as (select content_id, max(content) as content from note_content where content_id is not null group by content_id),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -107,6 +108,19 @@ def test_similar_texts_against_all_pairs(spark):
     assert {(r.one, r.other) for r in got.collect()} == want
 
 
+def test_shingle_classes_lose_no_similar_text(spark):
+    random.seed(3)
+    base = [" ".join(random.choices("a b c d e f g h".split(), k=40)) for _ in range(6)]
+    rows = list(enumerate(base + [t.rsplit(" ", 1)[0] for t in base] + [t.upper() + "!" for t in base[:3]] + ["ü " + base[0], "", None, "one", "One."]))
+    runs = {i: {tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))} for i, t in rows if (w := re.findall("[a-z0-9]+", (t or "").lower()))}
+    want = {(i, j) for i, j in itertools.combinations(runs, 2) if len(runs[i] & runs[j]) / len(runs[i] | runs[j]) >= 0.8}
+    frame = spark.createDataFrame(rows, "id long, text string")
+    of = {r["id"]: r["class"] for r in bundles.shingle_classes(frame, "id", "text").collect()}
+    linked = {(r.one, r.other) for r in bundles.similar_texts(frame, "id", "text").collect()}
+    got = {(i, j) for i, j in itertools.combinations(of, 2) if of[i] == of[j] or tuple(sorted((of[i], of[j]))) in linked}
+    assert of.keys() == runs.keys() and {tuple(sorted(p)) for p in got} == want and of[12] == 0 and of[19] == 18
+
+
 def test_sections_and_links(spark):
     rows = spark.createDataFrame([(1, "intro\n# A\nx [[t#h|l]] ![[t]] [[t#h]]\n## B\ny\n# C\nz #Tag #tag")], "id long, text string")
     got = [(r.line, r.level, r.heading, r.end_line, r.content) for r in texts.sections(rows, "id", "text").orderBy("line").collect()]
