@@ -103,9 +103,9 @@ def merged_versions(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def rewritten_links(spark: SparkSession, directory: str) -> DataFrame:
-    """Documents whose links name one of every third note's path, which moves to `moved/`."""
+    """Documents whose links name a current note's path, all of which move to `moved/`."""
     path = F.regexp_replace("path", r"\.md$", "")
-    moves = _catalog(spark, directory).filter("note_id % 3 = 0").select(path.alias("old")).distinct().select("old", F.concat(F.lit("moved/"), "old").alias("new"))
+    moves = _catalog(spark, directory).select(path.alias("old")).distinct().select("old", F.concat(F.lit("moved/"), "old").alias("new"))
     found = versions.rewritten(read_table(spark, directory, "documents").filter("text is not null").select("doc_id", "text"), "doc_id", "text", moves.filter("old <> ''"))
     return found.select("doc_id", "rewritten", F.sha2("content", 256).alias("digest"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lectern.functions.stems import stem
 from lectern.functions.text import estimated_tokens, folded, key_of, reference_key
 from lectern.operators import bundles, catalog, measures, rules, search, texts, versions
+from lectern.plans import analytics
 from lectern.plans import search as search_plans
 from tests.conftest import SMALL
 
@@ -87,6 +88,14 @@ def test_filled_against_greedy(spark, rows):
     assert sorted(r.item_id for r in bundles.filled(frame, 100).collect()) == sorted(greedy(items, 100))
 
 
+def test_links_to_every_note_are_rewritten(spark, tmp_path):
+    notes = catalog.current_catalog(spark.read.parquet(f"{SMALL}/vault_note.parquet")).select("note_id", "path").filter("path like '%.md'").collect()
+    spark.read.parquet(f"{SMALL}/vault_note.parquet").write.parquet(str(tmp_path / "vault_note.parquet"))
+    texts_ = [(r.note_id, f"see [[{r.path[:-3]}]]") for r in notes]
+    spark.createDataFrame(texts_, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id for r in analytics.rewritten_links(spark, str(tmp_path)).collect()} == {r.note_id for r in notes}
+
+
 def test_ranked_search_reads_all_sections(spark):
     notes = search_plans._notes(spark, SMALL)
     bodies = {r.path: (r.note_id, r.body or "") for r in notes.collect()}
