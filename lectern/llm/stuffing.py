@@ -1,18 +1,20 @@
 """Pages stuffed with keywords, links or tags instead of sentences.
 
 Corpus counts of words and of neighbouring words give the pointwise mutual
-information of each pair. In sentences most pairs are drawn to each other. In
-strung-together search words they are not (word salad), or they are the same few
-pairs again and again (repeated collocations). A page is cut into segments; a
-segment is stuffed where its mean information, counting nothing for pairs that
-only the page itself uses or repeats excessively, is low, and it neither reads
-as sentences nor is laid out as log, code or table, or where it is nothing but
-links or tags. A page is a case where more
-than half of its characters stand in stuffed segments.
-
-The counts are of all pages and of all words, however rare. They stay rows: a
-page's distinct pairs meet them in a join, and only pairs of segments whose verdict
-hangs on them take part. Nothing is broadcast or gathered but the number of pairs.
+information of each pair. In honest text, sentence or list, most pairs are drawn to
+each other. In strung-together search words they are not (word salad), or they are
+the same few pairs again and again (repeated collocations). A page is cut into
+segments: a line that reads as sentences, or a run of other lines. In a segment's mean
+information pairs that only the page itself uses count nothing, and pairs repeated
+excessively count against it. Where the mean is far below that of the whole collection
+the segment is stuffed; nothing else makes it so. Layout only exempts: logs, code and
+tables are not judged, and in sentences a pair may come back once a sentence. A page
+is a case where more than half of its characters stand in stuffed segments.
+
+The counts are of all pages, copies of a text once, and of all words, however rare.
+The most frequent pairs, a fixed number, are known to every task, which settles
+nearly all segments and keeps hot pairs out of the shuffle. Pairs of the segments
+still open meet the counts of all other pairs in a join. Both ways give the same sums.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,34 +37,32 @@ from lectern.sources.tables import cut_lineage
 CHUNK = 2_000_000
 #: Pairs a task holds at most before it adds them up.
 PAIRS_HELD = 8_000_000
-#: Words back in which a repeated word counts as near.
-NEAR = 8
-#: A pair is excessive from this many times in a page and this share of its pairs.
-MANY, SHARE = 3, 0.01
-#: A list is stuffed below this mean information, or below the second where so large a share of its words repeats
-#: nearby, or from the last share on.
-LIST_COHERENT, LIST_CROWDED_COHERENT, LIST_CROWDED, FULL = 2.0, 3.2, 0.2, 0.45
-#: Words of a list at least; the few tags and fields that open an honest note are fewer.
-LIST_WORDS = 14
-#: Sentences are stuffed from this share of words repeated nearby and below this mean information; the second pair holds
-#: from so many words on, for short honest sentences repeat as much.
-PROSE = ((0.28, 1.6, 2), (0.36, 2.6, 30))
+#: The most frequent pairs that every task knows; 24 bytes each. All others are joined.
+FREQUENT = 1 << 16
+#: A segment is stuffed below this share of the collection's mean information of a pair.
+COHERENT = 0.5
+#: As many pairs of the collection's mean are added to each segment, so that few pairs prove little.
+PRIOR = 4
+#: A pair is excessive from so many times in a page, and this share of its pairs; in sentences from so many times, and only
+#: where it comes back within so many words, less than most sentences have, or where the last share of the segment's pairs
+#: comes back as often in it. An excessive pair informs of minus the mean.
+REPEATS, SHARE, REPEATS_IN_SENTENCES, NEAR, CHANTED = 2, 0.01, 3, 8, 2 / 3
 #: The share of a page's characters that makes it a case.
 HALF = 0.5
 
 _SKELETON = {ord(a): b for a, b in LOOK_ALIKES.items()}
 _MARKS = regex.compile(r"\p{M}+")
 _HOST = re.compile(r"(?:https?://|www\.)[^\s/()\[\]<>]*")
-_ADDRESS = re.compile(r"(?:https?://|www\.)\S+")
-_NOTE_LINK = re.compile(r"!?\[\[[^\]]*\]\]")
-_TAG = re.compile(r"(?<!\w)#[^\W_][\w/-]*")
-_TOKEN = re.compile(r"[^\W_]+")
-_TOKEN_OR_LINE = re.compile(r"[^\W_]+|\n")
+#: Words; in scripts without spaces each character is one.
+_UNSPACED = "\u3040-\u30ff\u3400-\u9fff"
+_TOKEN = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
+_TOKEN_OR_LINE = re.compile(_TOKEN.pattern + r"|\n")
 _UNUSUAL = re.compile(r"[^\x00-\x7f]+")
 _STOP = re.compile(r"[.!?](?=[\s\"')\]»”]|$)|[。！？]")
 _LOG = re.compile(r"\W*\d{4}-\d\d-\d\d[t ]\d\d:\d\d")
 _ROW = re.compile(r"\s*\|.*\|\s*$")
 _RULE = re.compile(r"\s*\|?\s*:?-{2,}:?\s*\|")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _plain(run: str) -> str:
@@ -99,35 +100,44 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa
 
 
 class Spellings(dict):
-    """A number for each word, as they come; -1 for what is no word."""
+    """A number for each word, as they come, and the word's hash; -1 for what is no word."""
 
     def __init__(self) -> None:
         super().__init__()
-        self.words: list[str] = []
+        self.hashes: list[int] = []
 
     def __missing__(self, token: str) -> int:
-        self[token] = found = len(self.words) if token.isalpha() else -1
+        self[token] = found = len(self.hashes) if token.isalpha() else -1
         if found >= 0:
-            self.words.append(token)
+            self.hashes.append(xxhash.xxh3_64_intdigest(token))
         return found
 
+    def hashed(self, numbers: np.ndarray) -> np.ndarray:
+        return np.array(self.hashes, np.uint64)[numbers] if self.hashes else np.zeros(0, np.uint64)
+
 
 def _numbers(tokens: list[str], spellings: Spellings) -> np.ndarray:
     return np.fromiter(map(spellings.__getitem__, tokens), np.int64, len(tokens))
 
 
-def count_word_pairs(documents: DataFrame) -> DataFrame:
-    """`left, right, n`: how often one word follows another on a line, over all texts; each task adds up before rows are shuffled."""
+def distinct_texts(documents: DataFrame) -> DataFrame:
+    """`text` of every document, copies once; copies are dropped before the shuffle too. Texts are told apart by 96 bits."""
+    texts = documents.select("text").filter("text <> ''")
+    return texts.groupBy(F.xxhash64("text").alias("a"), F.hash("text").alias("b")).agg(F.first("text").alias("text")).select("text")
+
+
+def count_word_pairs(texts: DataFrame) -> DataFrame:
+    """`left, right, n`: how often one word (by its hash) follows another on a line; each task adds up before rows are shuffled."""
 
     def rows(spellings: Spellings, pairs: list[np.ndarray]) -> pa.RecordBatch:
         found, n = np.unique(np.concatenate(pairs), return_counts=True)
-        words = pa.array(spellings.words, pa.string())
-        return pa.RecordBatch.from_arrays([words.take(pa.array(found >> 32)), words.take(pa.array(found & 0xFFFFFFFF)), pa.array(n, pa.int64())], names=["left", "right", "n"])
+        left, right = (spellings.hashed(side).view(np.int64) for side in (found >> 32, found & 0xFFFFFFFF))
+        return pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n, pa.int64())], names=["left", "right", "n"])
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spellings, pairs, size = Spellings(), [], 0
-        for _, _, texts in _chunks(batches, 0):
-            own = _numbers(_TOKEN_OR_LINE.findall("\n".join(without_hosts(plain(t)) for t in texts)), spellings)
+        for _, _, own_texts in _chunks(batches, 0):
+            own = _numbers(_TOKEN_OR_LINE.findall("\n".join(without_hosts(plain(t)) for t in own_texts)), spellings)
             left, right = own[:-1], own[1:]
             both = (left >= 0) & (right >= 0)
             pairs.append(left[both] << 32 | right[both])
@@ -138,7 +148,7 @@ def count_word_pairs(documents: DataFrame) -> DataFrame:
         if size:
             yield rows(spellings, pairs)
 
-    return documents.select("text").mapInArrow(per_task, "left string, right string, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(per_task, "left long, right long, n long").groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
 def expected_pairs(pairs: DataFrame) -> DataFrame:
@@ -152,61 +162,83 @@ def expected_pairs(pairs: DataFrame) -> DataFrame:
     return often.select("left", "right", "n", (F.col("of_left").cast("double") * F.col("of_right") / all_pairs).alias("expected"))
 
 
-def is_bare(line: str) -> bool:
-    """Whether a line is nothing but addresses, note links or tags, and what stands between them."""
-    rest = line
-    for mark, pattern in (("://", _ADDRESS), ("[[", _NOTE_LINK), ("#", _TAG)):
-        if mark in rest:
-            rest = pattern.sub("", rest)
-    return rest is not line and not any(c.isalnum() for c in rest)
+def mean_information(known: DataFrame, pairs: DataFrame) -> float:
+    """What a pair of the collection informs on the whole; pairs that draw less than chance inform of nothing."""
+    total = pairs.agg(F.sum("n").cast("double")).first()[0] or 1.0
+    return (known.agg(F.sum(F.col("n") * F.greatest(F.log(F.col("n") / F.col("expected")), F.lit(0.0)))).first()[0] or 0.0) / total
+
+
+def _codes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left * _ODD + right
+
+
+class Known:
+    """The most frequent pairs: their codes in order, counts and expected counts; and the mean of all pairs."""
 
+    def __init__(self, frequent: DataFrame, mean: float) -> None:
+        rows = frequent.toArrow()  # FREQUENT rows at most
+        left, right, n, expected = (rows.column(c).to_numpy() for c in ("left", "right", "n", "expected"))
+        codes = _codes(left.view(np.uint64), right.view(np.uint64))
+        order = np.argsort(codes)
+        self.codes, self.n, self.expected, self.mean = codes[order], n[order], expected[order], mean
 
-def segments_of(text: str) -> tuple[list[list[str]], list[int], list[bool], list[bool], list[bool]]:
-    """A page's segments: tokens, characters, whether it reads as sentences, has a fixed layout, is bare links or tags.
+    def gains(self, codes: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """What each pair informs, without the page's own uses; nan where the pair isn't among the frequent ones."""
+        if not len(self.codes):
+            return np.full(len(codes), np.nan)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        others = self.n[at] - own
+        gain = np.log(np.maximum(others, 1) / self.expected[at])
+        return np.where(self.codes[at] != codes, np.nan, np.where(others > 0, np.maximum(gain, 0), 0))
 
-    A line with a full stop is a segment; lines without, one after another, are
-    one. Headings and blank lines are left out.
+
+def segments_of(text: str) -> tuple[list[list[str]], list[int], list[bool], list[bool]]:
+    """A page's segments: tokens, characters, whether it reads as sentences, whether it is a log, code or a table.
+
+    A line with full stops is a segment; lines without, one after another, are
+    one. Headings and blank lines are left out. A fence that isn't closed is none.
     """
-    words, sizes, prose, laid_out, bare = [], [], [], [], []
+    words, sizes, prose, exempt = [], [], [], []
     lines = plain(text).split("\n")
+    fences = [i for i, line in enumerate(lines) if line.lstrip().startswith("```")]
+    fences = fences[: len(fences) // 2 * 2]
     fenced = open_ = False
     for i, line in enumerate(lines):
         begin = line.lstrip()
-        if begin.startswith("```"):
+        if fences and i == fences[0]:
+            fences.pop(0)
             fenced, open_ = not fenced, False
             continue
         if not begin or begin.startswith("#") and begin.lstrip("#").startswith(" "):
             continue
         fixed = fenced or bool(_LOG.match(line)) or bool(_ROW.match(line)) and (bool(_RULE.match(line)) or any(c.isdigit() for c in line) or i + 1 < len(lines) and bool(_RULE.match(lines[i + 1])))
         tokens = _TOKEN.findall(without_hosts(line))
-        linked = is_bare(line)
-        stops = 0 if fixed or linked else len(_STOP.findall(line))
+        stops = 0 if fixed else len(_STOP.findall(line))
         reads = stops > 0 and len(tokens) < 40 * stops
-        if open_ and not reads and not fixed and not linked and not bare[-1]:
+        if open_ and not reads and not fixed:
             words[-1] += tokens
             sizes[-1] += len(line)
         else:
             words.append(tokens)
             sizes.append(len(line))
             prose.append(reads)
-            laid_out.append(fixed)
-            bare.append(linked)
-            open_ = not reads and not fixed and not linked
-    return words, sizes, prose, laid_out, bare
+            exempt.append(fixed)
+            open_ = not reads and not fixed
+    return words, sizes, prose, exempt
 
 
-def judged(texts: list[str], decide: float | None = None) -> pa.RecordBatch:
-    """`sure, whole, open, pairs` of each text: what is known of its segments without counts of the corpus.
+def judged(texts: list[str], known: Known, decide: float | None = None) -> pa.RecordBatch:
+    """`sure, whole, open, pairs` of each text: what the frequent pairs say of its segments.
 
-    sure: characters of segments that are stuffed whatever their information is;
-    whole: all characters; open: `segment, size, below` of those that are stuffed
-    below a mean information; pairs: `segment, left, right, weight, own`, their
-    pairs with the share of the segment's pairs and how often the page has them,
-    without excessive ones. With `decide`, pages on one side of that share
-    whatever the information is have no open segments.
+    sure: characters of segments that are stuffed whatever else is counted; whole:
+    all characters; open: `segment, size, need` of those that are stuffed unless
+    their other pairs inform of `need` together; pairs: `segment, left, right,
+    times, own` of those other pairs, how often in the segment and on the page.
+    With `decide`, pages on one side of that share whatever the open segments are
+    have none.
     """
     tokens: list[str] = []
-    page_of, size_of, prose, laid_out, bare, length = [], [], [], [], [], []
+    page_of, size_of, prose, exempt, length = [], [], [], [], []
     for page, text in enumerate(texts):
         words, sizes, *flags = segments_of(text)
         for own in words:
@@ -215,100 +247,98 @@ def judged(texts: list[str], decide: float | None = None) -> pa.RecordBatch:
         page_of += [page] * len(words)
         size_of += sizes
         prose += flags[0]
-        laid_out += flags[1]
-        bare += flags[2]
+        exempt += flags[1]
     segments, pages = len(length), len(texts)
     page_of, size_of, length = np.array(page_of, np.int64), np.array(size_of, np.float64), np.array(length, np.int64)
-    prose, laid_out, bare = np.array(prose, bool), np.array(laid_out, bool), np.array(bare, bool)
+    prose, exempt = np.array(prose, bool), np.array(exempt, bool)
     spellings = Spellings()
     number = _numbers(tokens, spellings)
     segment = np.repeat(np.arange(segments), length)
-    word = number >= 0
-    many = np.bincount(segment[word], minlength=segments)
-    # pairs
-    pair = word[:-1] & word[1:] & (segment[:-1] == segment[1:])
-    of_segment, code = segment[:-1][pair], number[:-1][pair] * len(spellings.words) + number[1:][pair]
-    pairs = np.bincount(of_segment, minlength=segments)
-    # near repetition
-    near = np.zeros(len(number), bool)
-    for back in range(1, NEAR + 1):
-        near[back:] |= (number[back:] == number[:-back]) & (segment[back:] == segment[:-back])
-    crowded = np.bincount(segment[near & word], minlength=segments) / np.maximum(many, 1)
-    # the mean information below which a segment is stuffed
-    in_prose = np.max([np.where((crowded >= near_share) & (many >= words), low, 0) for near_share, low, words in PROSE], 0)
-    in_list = np.where(many < LIST_WORDS, 0, np.where(crowded >= FULL, np.inf, np.where(crowded >= LIST_CROWDED, max(LIST_COHERENT, LIST_CROWDED_COHERENT), LIST_COHERENT)))
-    wordy = (many >= 2) & (size_of <= 24 * np.maximum(many, 1) + 40)
-    below = np.where(laid_out, 0, np.where(bare, np.inf, np.where(prose, in_prose, in_list) * 1.0))
-    below = np.where(wordy | bare, below, 0)
-    below = np.where((below > 0) & (pairs == 0), np.inf, below)
-    sure, whole = (np.bincount(page_of, size_of * chosen, pages) for chosen in (np.isinf(below), True))
-    open_ = (below > 0) & np.isfinite(below)
+    pair = np.flatnonzero((number[:-1] >= 0) & (number[1:] >= 0) & (segment[:-1] == segment[1:]))
+    of_segment, code = segment[pair], number[pair] * max(len(spellings.hashes), 1) + number[pair + 1]
+    count = np.bincount(of_segment, minlength=segments)
+    whole = np.bincount(page_of, size_of, pages)
+
+    # each pair of a segment once, with its times there and on the page; in sentences, how many words it comes back after
+    order = np.lexsort((pair, code, of_segment))
+    of_segment, code, place = of_segment[order], code[order], pair[order]
+    new = np.append(True, (code[1:] != code[:-1]) | (of_segment[1:] != of_segment[:-1]))[: len(code)]
+    begin = np.flatnonzero(new)
+    times = np.diff(np.append(begin, len(code)))
+    back = np.where(new, np.iinfo(np.int64).max, np.diff(place, prepend=0)) <= NEAR
+    back |= np.append(back[1:] & ~new[1:], False)[: len(back)]
+    near = np.add.reduceat(back.astype(np.int64), begin) if len(begin) else times
+    of_segment, code = of_segment[begin], code[begin]
+    of_page = page_of[of_segment]
+    by_page = np.lexsort((code, of_page))
+    first = np.append(True, (code[by_page][1:] != code[by_page][:-1]) | (of_page[by_page][1:] != of_page[by_page][:-1]))[: len(code)]
+    run = np.cumsum(first) - 1
+    own = np.empty(len(code), np.int64)
+    own[by_page] = np.bincount(run, times[by_page]).astype(np.int64)[run] if len(run) else 0
+    often = own >= SHARE * np.bincount(of_page, times, pages)[of_page]
+    sentence = prose[of_segment] if segments else np.zeros(0, bool)
+    excessive = often & (own >= np.where(sentence, REPEATS_IN_SENTENCES, REPEATS))
+    chanted = np.bincount(of_segment, times * (times >= REPEATS_IN_SENTENCES), segments) >= CHANTED * np.maximum(count, 1)
+    against = np.where(excessive, np.where(sentence & ~chanted[of_segment], near, times), 0)
+    counted = times - against
+
+    left, right = spellings.hashed(code // max(len(spellings.hashes), 1)), spellings.hashed(code % max(len(spellings.hashes), 1))
+    gain = known.gains(_codes(left, right), own)
+    informed = np.bincount(of_segment, np.nan_to_num(gain) * counted - known.mean * against, segments) + PRIOR * known.mean
+    need = COHERENT * known.mean * (count + PRIOR) - informed
+    more = np.bincount(of_segment, np.isnan(gain) & (counted > 0) & (own > 0), segments) > 0
+    low = (need > 0) & ~exempt
+    sure, open_ = np.bincount(page_of, size_of * (low & ~more), pages), low & more
     if decide is not None:
         most = sure + np.bincount(page_of, size_of * open_, pages)
         limit = decide * np.maximum(whole, 1)
         open_ &= ((sure <= limit) & (most > limit))[page_of] if segments else open_
-    # how often each pair stands on its page, and on its segment
-    wanted = np.zeros(pages, bool)
-    wanted[page_of[open_]] = True
-    kept = wanted[page_of[of_segment]]
-    of_segment, code = of_segment[kept], code[kept]
-    order = np.lexsort((code, page_of[of_segment]))
-    of_segment, code = of_segment[order], code[order]
-    of_page = page_of[of_segment]
-    first = np.append(True, (code[1:] != code[:-1]) | (of_page[1:] != of_page[:-1]))[: len(code)]
-    run = np.cumsum(first) - 1
-    own = np.bincount(run)[run] if len(run) else run
-    pairs_of_page = np.bincount(of_page, minlength=pages)
-    chosen = np.flatnonzero(open_[of_segment] & ~((own >= MANY) & (own >= SHARE * pairs_of_page[of_page])))
-    seg, cod, own = of_segment[chosen], code[chosen], own[chosen]
-    order = np.lexsort((cod, seg))
-    seg, cod, own = seg[order], cod[order], own[order]
-    begin = np.flatnonzero(np.append(True, (cod[1:] != cod[:-1]) | (seg[1:] != seg[:-1]))[: len(cod)])
-    times = np.diff(np.append(begin, len(cod)))
-    seg, cod, own = seg[begin], cod[begin], own[begin]
-    words = pa.array(spellings.words, pa.string())
-    vocabulary = max(len(spellings.words), 1)
+    kept = np.flatnonzero(open_[of_segment] & np.isnan(gain) & (counted > 0))
     at = np.flatnonzero(open_)
 
-    def listed(owner: np.ndarray, **columns: object) -> pa.ListArray:
+    def listed(owner: np.ndarray, **columns: np.ndarray) -> pa.ListArray:
         bounds = np.searchsorted(owner, np.arange(pages + 1)).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays([pa.array(c) for c in columns.values()], list(columns)))
 
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(sure), pa.array(whole), listed(page_of[at], segment=at, size=size_of[at], below=below[at]),
-            listed(page_of[seg], segment=seg, left=words.take(pa.array(cod // vocabulary)), right=words.take(pa.array(cod % vocabulary)), weight=times / pairs[seg], own=own.astype(np.int64)),
+            pa.array(sure), pa.array(whole), listed(page_of[at], segment=at, size=size_of[at], need=need[at]),
+            listed(page_of[of_segment[kept]], segment=of_segment[kept], left=left[kept].view(np.int64), right=right[kept].view(np.int64), times=counted[kept], own=own[kept]),
         ],
         names=["sure", "whole", "open", "pairs"],
     )
 
 
-_JUDGED = "sure double, whole double, open array<struct<segment: long, size: double, below: double>>, pairs array<struct<segment: long, left: string, right: string, weight: double, own: long>>"
+_JUDGED = "sure double, whole double, open array<struct<segment: long, size: double, need: double>>, pairs array<struct<segment: long, left: long, right: long, times: long, own: long>>"
 
 
-def stuffed_shares(documents: DataFrame, decide: float | None = None) -> DataFrame:
+def stuffed_shares(documents: DataFrame, decide: float | None = None, frequent: int = FREQUENT) -> DataFrame:
     """`doc_id, share` of every row: the share of the text's characters that stand in stuffed segments.
 
     With `decide` shares are right only as to whether they exceed it, which takes
     less work. Defined cases: null, empty and blank texts have the share 0; every
     copy of a text has the same share; doc_ids may repeat or be null; other columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. `frequent` (most pairs known to
+    every task) changes the work, not the result.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
+    pairs = cut_lineage(count_word_pairs(distinct_texts(documents)))  # read five times
+    counts = cut_lineage(expected_pairs(pairs))  # read three times
+    known = Known(counts.orderBy(F.desc("n"), "left", "right").limit(frequent), mean_information(counts, pairs))
+    shared = documents.sparkSession.sparkContext.broadcast(known)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, begin, texts in _chunks(batches, 1):
-            found = judged(texts, decide)
+            found = judged(texts, shared.value, decide)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), *found.columns], names=["doc_id", *found.schema.names])
 
     rows = documents.select("doc_id", "text").mapInArrow(per_batch, f"doc_id {kind}, {_JUDGED}")
-    pages = cut_lineage(rows.withColumn("page", F.monotonically_increasing_id()))  # read twice, by the same numbers
-    known = expected_pairs(cut_lineage(count_word_pairs(documents)))  # read four times
-    met = pages.select("page", F.inline("pairs")).join(known, ["left", "right"]).filter("n > own")
+    pages = cut_lineage(rows.withColumn("page", F.monotonically_increasing_id()))  # read three times, by the same numbers
+    met = pages.select("page", F.inline("pairs")).join(counts, ["left", "right"]).filter("n > own")
     gain = F.greatest(F.log((F.col("n") - F.col("own")) / F.col("expected")), F.lit(0.0))
-    means = met.groupBy("page", "segment").agg(F.sum(F.col("weight") * gain).alias("mean"))
-    judged_segments = pages.select("page", F.inline("open")).join(means, ["page", "segment"], "left")
-    more = judged_segments.filter(F.coalesce("mean", F.lit(0.0)) < F.col("below")).groupBy("page").agg(F.sum("size").alias("more"))
+    informed = met.groupBy("page", "segment").agg(F.sum(F.col("times") * gain).alias("informed"))
+    open_segments = pages.select("page", F.inline("open")).join(informed, ["page", "segment"], "left")
+    more = open_segments.filter(F.coalesce("informed", F.lit(0.0)) < F.col("need")).groupBy("page").agg(F.sum("size").alias("more"))
     share = (F.col("sure") + F.coalesce("more", F.lit(0.0))) / F.greatest("whole", F.lit(1.0))
     return pages.select("page", "doc_id", "sure", "whole").join(more, "page", "left").select("doc_id", share.alias("share"))
 

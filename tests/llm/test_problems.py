@@ -279,13 +279,41 @@ def test_stuffed_pages_agree_with_readers(spark):
     assert sum((r.n > 0) == (r.doc_id in found) for r in votes) >= 0.95 * len(votes)
 
 
+def test_only_information_tells_lists_from_salad(spark):
+    """Lists without a full stop in one layout: runs of phrases that the collection uses, and the same words strung together."""
+    random.seed(9)
+    phrases = [w.split() for w in ("close the door", "water the plants", "send the weekly report", "call the night desk", "renew the site permit", "order more paper", "check the boiler room", "move old files away", "read the survey notes", "clean the coffee machine")]
+    honest = [(i, "\n".join("- " + " ".join(p) for p in random.sample(phrases, 8))) for i in range(200)]
+    words = sorted({w for p in phrases for w in p if w != "the"})
+    salad = []
+    for i in range(10):
+        own = random.sample(words, len(words))
+        salad.append((1000 + i, "\n".join("- " + " ".join(own[j : j + 3]) for j in range(0, len(own) - 2, 3))))
+    frame = spark.createDataFrame([(i, t, "x", 1) for i, t in honest + salad], DOCUMENTS)
+    assert {r.doc_id for r in stuffing.stuffed_pages(frame).collect()} == {i for i, _ in salad}
+
+
+def test_frequent_and_joined_pairs_give_one_result(spark):
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet")
+    few, many = ({(r.doc_id, round(r.share, 9)) for r in stuffing.stuffed_shares(documents, None, n).collect()} for n in (0, 1 << 16))
+    assert few == many and any(s > 0.5 for _, s in many)
+
+
+def test_copies_are_counted_once(spark):
+    random.seed(10)
+    salad = " ".join(random.sample(["".join(x) for x in itertools.product("bdfg", "aeiou", "klmn", "ou")], 120))
+    honest = [(i, PROSE.format(f"n{i}", f"m{i}")) for i in range(60)]
+    rows = honest + [(1000 + i, salad) for i in range(400)]
+    assert {r.doc_id for r in stuffing.stuffed_pages(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCUMENTS)).collect()} == {i for i, t in rows if t == salad}
+
+
 def test_rare_words_count_as_themselves(spark):
     random.seed(8)
     made = ["".join(x) for x in itertools.product(("ba", "do", "fe", "gi", "ku", "la", "mo"), repeat=4)]
     random.shuffle(made)
     common, phrases = made[:2200], [made[i : i + 6] for i in range(2200, 2398, 6)]
-    pages = [" ".join(common[i : i + 40]) for i in range(0, 2200, 40) for _ in range(12)]
-    pages += [" ".join(sum(phrases[i : i + 3], [])) for i in range(0, 33, 3) for _ in range(4)]
+    pages = [" ".join(common[i : i + 40]) + f"\n{k}" for i in range(0, 2200, 40) for k in range(12)]  # the number makes it no copy
+    pages += [" ".join(sum(phrases[i : i + 3], [])) + f"\n{k}" for i in range(0, 33, 3) for k in range(4)]
     loose = sum(phrases[:3], [])
     random.shuffle(loose)
     rows = list(enumerate(pages)) + [(9001, " ".join(sum(phrases[:3], []))), (9002, " ".join(loose))]
