@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm.lookalikes import canonical_contents, look_alike_pairs
+from lectern.llm.lookalikes import canonical_contents, look_alike_classes, look_alike_pairs
 from lectern.sources.tables import read_table
 
 
@@ -20,5 +20,9 @@ def p3_canonical(spark: SparkSession, directory: str) -> DataFrame:
     return _canonical(spark, directory).select("content_id", "canonical")
 
 
-QUERIES = {"p3_found": p3_found, "p3_canonical": p3_canonical}
+def p3_classes(spark: SparkSession, directory: str) -> DataFrame:
+    return look_alike_classes(_canonical(spark, directory))
+
+
+QUERIES = {"p3_found": p3_found, "p3_canonical": p3_canonical, "p3_classes": p3_classes}
 SQL: dict[str, str] = {}

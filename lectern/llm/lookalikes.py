@@ -3,13 +3,16 @@
 Compatibility forms that only differ in width, font or joining are resolved,
 accents decomposed, characters without a mark deleted and single spaces unified.
 Each word then spans a lattice: every letter may be any letter that looks like it.
-A Viterbi search picks the reading whose neighbouring characters are likeliest in
-the whole collection and of one script. All spellings that look alike span the same
-lattice and so get the same reading, and readings of different lattices differ.
+A Viterbi search picks the reading whose characters follow each other most often in
+the whole collection and are of one script: it gives a text of swapped letters its
+true script back. All spellings that look alike span the same lattice, since looking
+alike is an equivalence, and so get the same reading; readings of different lattices
+differ. Hence equal readings are equal looks.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import uuid
 from collections.abc import Iterator
@@ -17,10 +20,11 @@ from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.sources.tables import cut_lineage
+
 # Letters of other scripts and the Latin letters they are drawn like.
 LOOK_ALIKES = dict(
     [
@@ -47,27 +51,37 @@ SCRIPT_CHANGE, ADDED = 6.0, 0.1
 KNOWN = 300_000
 #: Characters whose pairs are counted at once.
 CHUNK = 4_000_000
+#: Rows of one spelling that are paired in one group; those of more are spread.
+GROUP = 100_000
 
-_WORD = regex.compile(r"[\p{L}\p{M}]+")
-_UNUSUAL = regex.compile(r"[^\x20-\x7e\n\t]+")
+#: Letters, digits and the marks that decomposed letters carry.
+_WORD = re.compile(r"([\w\u0300-\u036f\u0483-\u0487]+)")
+_UNUSUAL = re.compile(r"[^\x20-\x7e\n\t]+")
+#: Single letters written as signs: alefs, Roman numerals, radicals.
+_SIGNS = {*range(0x2135, 0x2139), *range(0x2160, 0x2180), 0x2E9F, 0x2EF3, *range(0x2F00, 0x2FE0)}
 
 
-@cache
-def compatibility_table() -> dict[int, str]:
-    """Each code point that is replaced or deleted before words are read."""
-    table = {}
-    for c in range(0x110000):
+class Compatibility(dict):
+    """What each code point becomes before words are read, found as it is met: plain forms, spaces, line ends, or nothing."""
+
+    def __missing__(self, c: int) -> str:
         category = unicodedata.category(chr(c))
         form, _, rest = unicodedata.decomposition(chr(c)).partition(" ")
         if c in _LINE_ENDS:
-            table[c] = "\n"
+            found = "\n"
         elif c in _BLANK or category == "Cf" and c not in _MARKED or category == "Cc" and c not in (9, 10):
-            table[c] = ""
+            found = ""
         elif category == "Zs":
-            table[c] = " "
-        elif form in _FORMS or c == 0xB5 or form == "<compat>" and c != 0xFB05 and _joined(rest):
-            table[c] = unicodedata.normalize("NFKD", chr(c))
-    return {c: s for c, s in table.items() if s != chr(c)}
+            found = " "
+        elif form in _FORMS or c == 0xB5 or form == "<compat>" and c != 0xFB05 and (c in _SIGNS or _joined(rest)):
+            found = unicodedata.normalize("NFKD", chr(c))
+        else:
+            found = chr(c)
+        self[c] = found
+        return found
+
+
+_COMPATIBILITY = Compatibility()
 
 
 def _joined(decomposition: str) -> bool:
@@ -76,13 +90,13 @@ def _joined(decomposition: str) -> bool:
 
 
 def _folded(run: str) -> str:
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", run).translate(compatibility_table()))
+    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", run).translate(_COMPATIBILITY))
 
 
 _short_folded = lru_cache(1 << 16)(_folded)  # most runs are a letter with an accent
 
 
-def _fold_run(match: regex.Match) -> str:
+def _fold_run(match: re.Match) -> str:
     run = match.group()
     return _short_folded(run) if len(run) < 5 else _folded(run)
 
@@ -102,83 +116,103 @@ def script_of(char: str) -> str:
 
 
 class Symbols:
-    """The characters of the model: each look-alike by itself, all others by script.
+    """The characters of the model: each letter of the alphabets that have look-alikes, all others by script.
 
-    Their number is bounded by the look-alikes and the scripts, whatever the data.
+    Their number is bounded by the alphabets and the scripts, whatever the data.
+    The symbol 0 is the edge of a word; marks are no symbols.
     """
 
     def __init__(self, alike: dict[str, str]) -> None:
-        self.alike = alike
-        members = sorted({*alike, *alike.values()})
-        self.readings: dict[str, list[str]] = {}
-        for member in members:
-            self.readings.setdefault(alike.get(member, member), []).append(member)
-        self.scripts = ["EDGE", *sorted({script_of(chr(c)) for c in range(0x30000) if unicodedata.category(chr(c))[0] == "L"} | {"MARK"})]
-        self.names = [*self.scripts, *members]
-        self.number = {m: len(self.scripts) + i for i, m in enumerate(members)}
-        self.script_number = {s: i for i, s in enumerate(self.scripts)}
-        self.script = np.array([*range(len(self.scripts)), *(self.script_number[script_of(m)] for m in members)])
-        self.skeleton = {ord(a): b for a, b in alike.items()}
+        members = {*alike, *alike.values()}
+        classes: dict[str, list[str]] = {}
+        for member in sorted(members):
+            classes.setdefault(alike.get(member, member), []).append(member)
+        #: What each letter of a class may be read as; other letters are read as they are.
+        self.readings = {member: tuple(own) for own in classes.values() for member in own}
+        letters = [chr(c) for c in range(0x30000) if unicodedata.category(chr(c))[0] == "L"]
+        alphabets = {script_of(m) for m in members}
+        own = sorted(members | {c for c in letters if ord(c) < 0x590 and script_of(c) in alphabets and not unicodedata.decomposition(c)})
+        scripts = ["EDGE", *sorted({script_of(c) for c in letters})]
+        numbers = {s: i for i, s in enumerate(scripts)}
+        self.number = {c: len(scripts) + i for i, c in enumerate(own)}
+        self.script = np.array([*range(len(scripts)), *(numbers[script_of(c)] for c in own)])
+        self.by_script = numbers
+        self.size = len(self.script)
+        self.table: np.ndarray | None = None
 
     def of(self, char: str) -> int:
-        return self.number.get(char) or self.script_number.get(script_of(char), 0)
-
-    @property
-    def table(self) -> np.ndarray:
-        """The symbol of each code point; what is no letter or mark is an edge."""
-        found = np.zeros(0x110000, np.int32)
-        for c in range(0x110000):
-            if unicodedata.category(chr(c))[0] in "LM":
-                found[c] = self.of(chr(c))
-        return found
+        """The symbol of a character, -1 for a mark."""
+        category = unicodedata.category(char)[0]
+        return self.number.get(char) or (self.by_script.get(script_of(char), 0) if category == "L" else -1 if category == "M" else 0)
 
 
-def pair_counts(texts: list[str], table: np.ndarray, size: int) -> np.ndarray:
-    """How often one symbol follows another, as a flat square matrix."""
+def symbols_of(texts: list[str], symbols: Symbols) -> np.ndarray:
+    """The symbols of the texts' characters, one text after another; the table of code points fills as they are met."""
     points = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbols = table[points].astype(np.int64)
-    return np.bincount(symbols[:-1] * size + symbols[1:], minlength=size * size)
+    if symbols.table is None:
+        symbols.table = np.full(0x110000, -2, np.int32)
+    table = symbols.table
+    met = np.flatnonzero(np.bincount(points))
+    for c in met[table[met] == -2]:
+        table[c] = symbols.of(chr(c))
+    return table[points].astype(np.int64)
+
+
+def pair_counts(texts: list[str], symbols: Symbols) -> np.ndarray:
+    """How often one symbol follows another, as a flat square matrix; marks between them are passed over."""
+    own = symbols_of(texts, symbols)
+    own = own[own >= 0]
+    return np.bincount(own[:-1] * symbols.size + own[1:], minlength=symbols.size**2)
 
 
 def pair_costs(counts: np.ndarray, symbols: Symbols) -> np.ndarray:
     """What each symbol after each other costs: unlikely pairs and changes of script cost much."""
-    size = len(symbols.names)
-    matrix = counts.reshape(size, size) + ADDED
+    matrix = counts.reshape(symbols.size, symbols.size) + ADDED
     costs = -np.log(matrix / matrix.sum(1, keepdims=True))
-    free = {symbols.script_number["EDGE"], symbols.script_number["MARK"]}
-    changes = (symbols.script[:, None] != symbols.script[None, :]) & ~np.isin(symbols.script, [*free])[:, None] & ~np.isin(symbols.script, [*free])[None, :]
+    changes = symbols.script[:, None] != symbols.script[None, :]
+    changes[0, :] = changes[:, 0] = False
     return costs + SCRIPT_CHANGE * changes
 
 
-class Reader:
-    """Reads words; one per worker and model."""
+class Reader(dict):
+    """Reads words and remembers them; one per worker and model."""
 
     def __init__(self, symbols: Symbols, costs: np.ndarray) -> None:
-        self.symbols, self.costs = symbols, costs.tolist()
-        self.known: dict[str, str] = {}
-
-    def reading(self, skeleton: str) -> str:
-        """The cheapest path through the word's lattice; of equal ones the first in code point order."""
-        paths: dict[int, tuple[float, str]] = {0: (0.0, "")}
-        for char in skeleton:
-            here: dict[int, tuple[float, str]] = {}
-            for option in self.symbols.readings.get(char, (char,)):
-                number = self.symbols.of(option)
-                here[number] = min((cost + self.costs[before][number], path + option) for before, (cost, path) in paths.items())
-            paths = here
-        return min((cost + self.costs[last][0], path) for last, (cost, path) in paths.items())[1]
-
-    def _read(self, match: regex.Match) -> str:
-        word = match.group()
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > KNOWN:
-                self.known.clear()
-            found = self.known[word] = self.reading(word) if len(word) <= 4096 else word
+        super().__init__()
+        self.symbols, self.costs = symbols, costs
+
+    def reading(self, word: str) -> str:
+        """The cheapest path through the word's lattice, by back-pointers; of equal ones the first in code point order."""
+        options, back = [], []
+        before, total = [0], [0.0]
+        for char in word:
+            own = self.symbols.readings.get(char, (char,))
+            numbers = [self.symbols.of(option) for option in own]
+            if numbers[0] < 0:  # a mark changes nothing for what stands before and after it
+                options.append(own)
+                back.append(None)
+                continue
+            steps = [min((cost + float(self.costs[b, n]), i) for i, (b, cost) in enumerate(zip(before, total))) for n in numbers]
+            options.append(own)
+            back.append([i for _, i in steps])
+            before, total = numbers, [cost for cost, _ in steps]
+        _, at = min((cost + float(self.costs[b, 0]), i) for i, (b, cost) in enumerate(zip(before, total)))
+        read = []
+        for own, pointers in zip(reversed(options), reversed(back)):
+            read.append(own[at if pointers else 0])
+            at = pointers[at] if pointers else at
+        return "".join(reversed(read))
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > KNOWN:
+            self.clear()
+        self[word] = found = self.reading(word) if not self.symbols.readings.keys().isdisjoint(word) else word
         return found
 
     def canonical(self, text: str) -> str:
-        return unicodedata.normalize("NFC", _WORD.sub(self._read, folded(text).translate(self.symbols.skeleton)))
+        parts = _WORD.split(folded(text))
+        parts[1::2] = map(self.__getitem__, parts[1::2])
+        return unicodedata.normalize("NFC", "".join(parts))
 
 
 def defined_look_alikes(definitions: DataFrame) -> dict[str, str]:
@@ -206,27 +240,15 @@ def worker_reader(shared: object) -> Reader:
     model = shared.value
     if model["id"] not in _readers:
         _readers.clear()
-        _readers[model["id"]] = Reader(Symbols(model["alike"]), model["costs"])
+        _readers[model["id"]] = Reader(model["symbols"], model["costs"])
     return _readers[model["id"]]
 
 
-_tables: dict[tuple, tuple[np.ndarray, int]] = {}
-
-
-def worker_table(alike: dict[str, str]) -> tuple[np.ndarray, int]:
-    key = tuple(sorted(alike.items()))
-    if key not in _tables:
-        symbols = Symbols(alike)
-        _tables[key] = symbols.table, len(symbols.names)
-    return _tables[key]
-
-
-def count_pairs(contents: DataFrame, alike: dict[str, str]) -> np.ndarray:
+def count_pairs(contents: DataFrame, symbols: Symbols) -> np.ndarray:
     """Counts of all pairs of neighbouring symbols in the whole column `content`."""
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, size = worker_table(alike)
-        counts = np.zeros(size * size, np.int64)
+        counts = np.zeros(symbols.size**2, np.int64)
         for batch in batches:
             texts, length = [], 0
             for text in batch.column(0).to_pylist():
@@ -234,16 +256,15 @@ def count_pairs(contents: DataFrame, alike: dict[str, str]) -> np.ndarray:
                     texts.append(folded(text))
                     length += len(text)
                 if length > CHUNK:
-                    counts += pair_counts(texts, table, size)
+                    counts += pair_counts(texts, symbols)
                     texts, length = [], 0
-            counts += pair_counts(texts, table, size)
+            counts += pair_counts(texts, symbols)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["pair", "n"])
 
-    size = len(Symbols(alike).names)
-    counts = np.zeros(size * size, np.int64)
+    counts = np.zeros(symbols.size**2, np.int64)
     found = contents.select("content").mapInArrow(per_task, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    for pair, n in found.collect():  # at most size * size rows
+    for pair, n in found.collect():  # at most as many rows as there are pairs of symbols
         counts[pair] = n
     return counts
 
@@ -254,12 +275,13 @@ def canonical_contents(contents: DataFrame, definitions: DataFrame | None = None
     Equal canonical texts look alike, different ones don't. Case, accents, other
     letters and digits, superscripts, quotes, dashes and the number of spaces
     stay as they are. Defined cases: null stays null and empty empty; a text of
-    nothing but unmarked characters becomes empty; words beyond 4,096 letters
-    keep their Latin skeleton; rows may repeat; an empty table gives no rows.
+    nothing but unmarked characters becomes empty; words of any length are read
+    whole; rows may repeat; an empty table gives no rows.
     """
     alike = LOOK_ALIKES | ({} if definitions is None else defined_look_alikes(definitions))
-    costs = pair_costs(count_pairs(contents, alike), Symbols(alike))
-    shared = contents.sparkSession.sparkContext.broadcast({"id": uuid.uuid4().hex, "alike": alike, "costs": costs})
+    symbols = Symbols(alike)
+    costs = pair_costs(count_pairs(contents, symbols), symbols)
+    shared = contents.sparkSession.sparkContext.broadcast({"id": uuid.uuid4().hex, "symbols": symbols, "costs": costs})
     key = contents.schema["content_id"].dataType.simpleString()
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,18 +293,37 @@ def canonical_contents(contents: DataFrame, definitions: DataFrame | None = None
     return contents.select("content_id", "content").mapInArrow(per_batch, f"content_id {key}, content string, canonical string")
 
 
-def look_alike_pairs(canonical: DataFrame) -> DataFrame:
+def looks(canonical: DataFrame) -> DataFrame:
+    """`content_id, look, spelt`: digests of the form and of the characters of each content, once; null and empty contents have none."""
+    return canonical.filter("content_id is not null and content <> ''").select("content_id", F.sha2("canonical", 256).alias("look"), F.sha2("content", 256).alias("spelt")).distinct()
+
+
+def look_alike_classes(canonical: DataFrame) -> DataFrame:
+    """`look, spelt, class, contents`: the spellings of each look that has several, the least content_id of the look, and how many contents are spelt so.
+
+    This names every look-alike without a row for each pair.
+    """
+    spellings = looks(canonical).groupBy("look", "spelt").agg(F.count("*").alias("contents"), F.min("content_id").alias("first"))
+    by_look = spellings.groupBy("look").agg(F.min("first").alias("class"), F.count("*").alias("spellings")).filter("spellings > 1")
+    return spellings.join(by_look, "look").select("look", "spelt", "class", "contents")
+
+
+def look_alike_pairs(canonical: DataFrame, group: int = GROUP) -> DataFrame:
     """`content_id_a, content_id_b`, a < b: look alike and not the same characters.
 
-    Texts are classed by look and by characters; classes of one look are paired
-    and their members joined on, so all work is on rows of the result. Null and
-    empty contents are in no pair.
+    Texts are classed by look and by characters; spellings of one look are paired
+    and their members joined on, so all work is on rows of the result. The members
+    of a spelling that more than `group` contents have are spread over as many
+    groups. Null and empty contents are in no pair.
     """
-    texts = canonical.filter("content_id is not null and content <> ''").select(
-        "content_id", F.sha2("canonical", 256).alias("look"), F.sha2("content", 256).alias("spelt")
-    ).distinct()
-    spellings = texts.select("look", "spelt").distinct()
-    pairs = spellings.alias("a").join(spellings.alias("b"), F.expr("a.look = b.look and a.spelt < b.spelt")).select("a.look", F.col("a.spelt").alias("one"), F.col("b.spelt").alias("other"))
-    members = lambda name, at: texts.select("look", F.col("spelt").alias(at), F.col("content_id").alias(name))
-    found = pairs.join(members("x", "one"), ["look", "one"]).join(members("y", "other"), ["look", "other"]).filter("x <> y")
+    texts = cut_lineage(looks(canonical))  # read three times
+    spellings = texts.groupBy("look", "spelt").agg(F.ceil(F.count("*") / group).alias("salts"))
+    several = spellings.groupBy("look").agg(F.count("*").alias("n")).filter("n > 1").select("look")
+    spellings = spellings.join(several, "look", "left_semi")
+    spread = texts.join(spellings, ["look", "spelt"]).withColumn("salt", F.pmod(F.xxhash64("content_id"), "salts"))
+    a, b = (spellings.select("look", F.col("spelt").alias(name), F.col("salts").alias(f"of_{name}")) for name in ("one", "other"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    pairs = a.join(b, "look").filter("one < other").withColumn("salt_one", every("of_one")).withColumn("salt_other", every("of_other"))
+    members = lambda name, at: spread.select("look", F.col("spelt").alias(at), F.col("salt").alias(f"salt_{at}"), F.col("content_id").alias(name))
+    found = pairs.join(members("x", "one"), ["look", "one", "salt_one"]).join(members("y", "other"), ["look", "other", "salt_other"]).filter("x <> y")
     return found.select(F.least("x", "y").alias("content_id_a"), F.greatest("x", "y").alias("content_id_b")).distinct()

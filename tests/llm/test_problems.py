@@ -102,6 +102,40 @@ def test_pairs_against_all_pairs(spark):
     assert {tuple(r) for r in found} == want and len(found) == len(want)
 
 
+ENGLISH = "open source paper house corner garden people season escape carpet oxygen hope space topic episode sample process access expose compose person prose copy ocean pepper soap rope axe ace cope".split()
+RUSSIAN = "сосна осень море просто хорошо ворота дорога работа опора норма сахар река народ рост город корова образ ответ вопрос порог отец смех успех роса оса перо поход порт спор совесть".split()
+GREEK = "πρόγραμμα όνομα κόσμος τόπος νόμος χώρα δρόμος ουρανός χρόνος λόγος γράμμα πόλη θάλασσα βουνό άνθρωπος όρος νερό φως ήλιος καιρός".split()
+
+
+def test_reading_gives_swapped_letters_their_script_back(spark):
+    """Words with half of their look-alikes swapped come out in their true script; the Latin skeleton alone would fail all but the Latin ones."""
+    random.seed(33)
+    classes = lookalikes.Symbols(lookalikes.LOOK_ALIKES).readings
+    swap = lambda w: "".join(random.choice(classes[c]) if c in classes and random.random() < 0.5 else c for c in w)
+    lines = [" ".join(random.choices(own, k=12)) for own in (ENGLISH, RUSSIAN, GREEK) for _ in range(60)]
+    swapped = [(w, swap(unicodedata.normalize("NFD", w))) for own in (ENGLISH, RUSSIAN, GREEK) for w in own for _ in range(4)]
+    rows = [*enumerate(lines), *((1000 + i, s) for i, (_, s) in enumerate(swapped))]
+    got = {r.content_id: r.canonical for r in lookalikes.canonical_contents(spark.createDataFrame(rows, "content_id long, content string")).collect()}
+    right = [got[1000 + i] == unicodedata.normalize("NFC", w) for i, (w, _) in enumerate(swapped)]
+    skeleton = [w == "".join(lookalikes.LOOK_ALIKES.get(c, c) for c in unicodedata.normalize("NFD", w)) for w, _ in swapped]
+    assert sum(right) > 0.95 * len(right) and sum(skeleton) < 0.5 * len(right)
+
+
+def test_long_words_are_read_whole():
+    symbols = lookalikes.Symbols(lookalikes.LOOK_ALIKES)
+    reader = lookalikes.Reader(symbols, lookalikes.pair_costs(lookalikes.pair_counts(["место порт спор"] * 9, symbols), symbols))
+    assert reader.canonical("cпоp" * 5000) == "спор" * 5000
+
+
+def test_classes_name_all_spellings(spark):
+    rows = [(i, t) for i, t in enumerate(["note", "nоte", "nоte", "other", "ｎote", None, ""])]
+    canonical = lookalikes.canonical_contents(spark.createDataFrame(rows + rows, "content_id long, content string"))
+    found = lookalikes.look_alike_classes(canonical).collect()
+    assert {(r["class"], r.contents) for r in found} == {(0, 1), (0, 2)} and len(found) == 3 and len({r.look for r in found}) == 1
+    pairs = lambda group: {tuple(r) for r in lookalikes.look_alike_pairs(canonical, group).collect()}
+    assert pairs(1) == pairs(100) == {(0, 1), (0, 2), (0, 4), (1, 4), (2, 4)}
+
+
 def test_list_of_look_alikes_is_tidied(spark):
     rows = [("а", "a"), ("а", "ａ"), ("х", None), ("—", " - "), ("é", "é"), (" ", " "), (None, "x"), ("U+3000", " "), ("ꬰ", "a"), ("ꬰ", "b"), ("ꬰ", "b")]
     assert lookalikes.defined_look_alikes(spark.createDataFrame(rows, "char string, replacement string")) == {"а": "a", "ꬰ": "b"}
