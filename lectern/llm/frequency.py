@@ -1,10 +1,12 @@
 """Frequency of every distinct term, by a global integer dictionary and count arrays.
 
-Every term gets an identifier: a range (a hash of the term) and a slot in it (its
-rank among the range's terms). Occurrences are encoded, each task adds its rows up
-in count arrays per range, and the arrays of a range are summed. Terms are reduced
-to one row per term and record block before they are shuffled by term, so a term
-that a third of the records carry is as many rows as there are blocks.
+Records are taken in blocks. A block's terms are encoded by their numbers in the block,
+and its occurrences and the records they stand in are counted in arrays over those
+numbers. The global dictionary gives every term an identifier: a range (a hash of the
+term) and a slot in it (its rank among the range's terms). A block's arrays are cut by
+range, and the arrays of a range are laid on its slots and summed. So nothing but
+arrays is shuffled, once, and a term that a third of the records carry is one element
+of each block's arrays.
 """
 
 from __future__ import annotations
@@ -13,86 +15,114 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import folded
+from lectern.sources.tables import cut_lineage
 
-#: Identifier ranges; a range holds about (distinct terms / RANGES) slots.
-RANGES = 256
-#: Blocks of records that occurrences are pre-aggregated in.
-BLOCKS = 64
+#: Occurrences of a block.
+BLOCK = 2_000_000
+#: Occurrences that one range is meant for; a range holds fewer distinct terms than that.
+PER_RANGE = 1 << 17
 
-_SUMS = "range int, slots array<int>, occurrences array<long>, records array<long>, added array<long>"
 _MEASURES = ("occurrences", "records", "added")
+_ARRAYS = "range int, terms array<string>, " + ", ".join(f"{m} array<long>" for m in _MEASURES)
 
 
-def block_of(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BLOCKS)).cast("int")
+def _by_range(terms: pa.Array, measures: list[np.ndarray], ranges: int) -> pa.RecordBatch:
+    """A block's arrays cut by the range of each term: one row a range."""
+    range_of = np.fromiter((xxhash.xxh3_64_intdigest(t) % ranges for t in terms.to_pylist()), np.int64, len(terms))
+    order = np.argsort(range_of, kind="stable")
+    met, begin = np.unique(range_of[order], return_index=True)
+    ends = pa.array(np.append(begin, len(order)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, values.take(pa.array(order))) for values in (terms, *(pa.array(m, pa.int64()) for m in measures))]
+    return pa.RecordBatch.from_arrays([pa.array(met, pa.int32()), *lists], names=["range", "terms", *_MEASURES])
 
 
-def term_dictionary(terms: DataFrame) -> DataFrame:
-    """`term, range, slot`: the same identifiers for the same terms, whatever the partitions."""
-    known = terms.select("term").distinct().withColumn("range", F.pmod(F.xxhash64("term"), F.lit(RANGES)).cast("int"))
-    return known.withColumn("slot", F.row_number().over(Window.partitionBy("range").orderBy("term")) - 1)
+def record_block(lists: list[pa.Array], ranges: int) -> pa.RecordBatch:
+    """Encodes the terms of a block's records and counts them; nulls are no terms."""
+    column = pa.chunked_array(lists).combine_chunks()
+    lengths = np.nan_to_num(np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), np.float64)).astype(np.int64)
+    terms = column.flatten()
+    there = terms.is_valid()
+    encoded = terms.filter(there).dictionary_encode()
+    codes, size = encoded.indices.to_numpy().astype(np.int64), max(len(encoded.dictionary), 1)
+    record = np.repeat(np.arange(len(lengths)), lengths)[there.to_numpy(zero_copy_only=False)]
+    occurrences = np.bincount(codes, minlength=len(encoded.dictionary))
+    records = np.bincount(np.unique(record * size + codes) % size, minlength=len(encoded.dictionary))
+    return _by_range(encoded.dictionary, [occurrences, records, np.zeros(len(occurrences), np.int64)], ranges)
 
 
-def _per_range(ranges: np.ndarray, slots: np.ndarray, measures: list[np.ndarray]) -> Iterator[tuple]:
-    """`range, slots, sums` with the slots of each range ascending and distinct."""
-    order = np.argsort(ranges, kind="stable")
-    for own in np.split(order, np.flatnonzero(np.diff(ranges[order])) + 1):
-        if len(own):
-            distinct, at = np.unique(slots[own], return_inverse=True)
-            yield ranges[own[0]], distinct, [np.bincount(at, m[own], len(distinct)).astype(np.int64) for m in measures]
-
-
-def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
-    ends = np.cumsum([0, *map(len, parts)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts), kind))
-
-
-def _count_arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows `range, slot, measures` of a block to one row of arrays per range."""
-    for batch in batches:
-        if batch.num_rows:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("range", "slot", *_MEASURES)]
-            found = list(_per_range(columns[0], columns[1], columns[2:]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r for r, _, _ in found], pa.int32()), _lists([s for _, s, _ in found], pa.int32())]
-                + [_lists([m[i] for _, _, m in found], pa.int64()) for i in range(3)],
-                names=["range", "slots", *_MEASURES],
-            )
+def counted_block(terms: list[pa.Array], counts: list[pa.Array], ranges: int) -> pa.RecordBatch:
+    """The same for terms counted elsewhere."""
+    encoded = pa.chunked_array(terms).combine_chunks().dictionary_encode()
+    added = np.zeros(len(encoded.dictionary), np.int64)
+    np.add.at(added, encoded.indices.to_numpy(), pa.chunked_array(counts).combine_chunks().fill_null(0).to_numpy(zero_copy_only=False))
+    return _by_range(encoded.dictionary, [np.zeros(len(added), np.int64), np.zeros(len(added), np.int64), added], ranges)
 
 
 def _sum_arrays(table: pa.Table) -> pa.Table:
-    """The arrays of one range, added up."""
-    slots, *measures = (table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("slots", *_MEASURES))
-    size = int(slots.max()) + 1 if len(slots) else 0
-    sums = [np.bincount(slots, m, size).astype(np.int64) for m in measures]
-    return pa.table({"range": pa.array([table.column("range")[0].as_py()] * size, pa.int32()), "slot": pa.array(np.arange(size), pa.int32())} | {c: pa.array(s, pa.int64()) for c, s in zip(_MEASURES, sums)})
+    """The dictionary of one range, its terms in order, and the sums of all blocks' arrays over it."""
+    flat = {c: table.column(c).combine_chunks().flatten() for c in ("terms", *_MEASURES)}
+    encoded = flat["terms"].dictionary_encode()
+    order = np.argsort(np.array(encoded.dictionary.to_pylist(), object), kind="stable")
+    slot = np.empty(len(order), np.int64)
+    slot[order] = np.arange(len(order))
+    at, sums = slot[encoded.indices.to_numpy()], []
+    for measure in _MEASURES:
+        total = np.zeros(len(order), np.int64)
+        np.add.at(total, at, flat[measure].to_numpy(zero_copy_only=False))
+        sums.append(total)
+    identifier = (int(table.column("range")[0].as_py()) << 32) + np.arange(len(order))
+    return pa.table({"id": pa.array(identifier, pa.int64()), "term": encoded.dictionary.take(pa.array(order))} | {m: pa.array(t, pa.int64()) for m, t in zip(_MEASURES, sums)})
+
+
+def encoded_frequencies(records: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """`id, term, occurrences, records, added`: the dictionary with the counts of its terms. Defined as `term_frequencies`."""
+    occurrences = records.agg(F.sum(F.size("terms").cast("long"))).first()[0] or 0
+    ranges = 1 + (max(occurrences, 0) + (counted.count() if counted is not None else 0)) // PER_RANGE
+
+    def of_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch.column(0))
+            size += len(batch.column(0).flatten())
+            if size > BLOCK:
+                yield record_block(held, ranges)
+                held, size = [], 0
+        if size:
+            yield record_block(held, ranges)
+
+    def of_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, counts, size = [], [], 0
+        for batch in batches:
+            terms.append(batch.column(0))
+            counts.append(batch.column(1))
+            size += batch.num_rows
+            if size > BLOCK:
+                yield counted_block(terms, counts, ranges)
+                terms, counts, size = [], [], 0
+        if size:
+            yield counted_block(terms, counts, ranges)
+
+    blocks = records.select(F.col("terms").cast("array<string>")).filter("size(terms) > 0").mapInArrow(of_records, _ARRAYS)
+    if counted is not None:
+        blocks = blocks.unionByName(counted.filter("term is not null").select("term", F.col("count").cast("long")).mapInArrow(of_counted, _ARRAYS))
+    return blocks.groupBy("range").applyInArrow(_sum_arrays, "id long, term string, occurrences long, records long, added long")
 
 
 def term_frequencies(records: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """`term, occurrences, records, added` of every distinct term.
 
-    records: `record_id, terms` (an array; nulls in it are no terms). counted:
-    `term, source_id, count` of counts made elsewhere, summed as `added`.
-    Defined cases: null and empty arrays and null terms give nothing, a term
-    twice in a record is two occurrences in one record, other columns are
-    ignored, empty inputs give no rows. Counts are exact up to 2^53.
+    records: `terms` (an array; nulls in it are no terms), a row for each record.
+    counted: `term, count` of counts made elsewhere, summed as `added`. Defined
+    cases: null and empty arrays and null terms give nothing, a null count counts
+    0, a term twice in a record is two occurrences in one record, a record may
+    have any number of terms, other columns are ignored, empty inputs give no rows.
     """
-    one = F.transform(F.array_compact("terms"), lambda t, i: F.struct(t.alias("term"), (F.array_position(F.array_compact("terms"), t) == i + 1).cast("long").alias("first")))
-    rows = records.select(block_of(F.col("record_id")).alias("block"), F.inline(one)).select(
-        "block", "term", F.lit(1).cast("long").alias("occurrences"), F.col("first").alias("records"), F.lit(0).cast("long").alias("added")
-    )
-    if counted is not None:
-        zero = F.lit(0).cast("long")
-        rows = rows.unionByName(counted.filter("term is not null").select(block_of(F.col("source_id")).alias("block"), "term", zero.alias("occurrences"), zero.alias("records"), F.col("count").cast("long").alias("added")))
-    blocks = rows.groupBy("block", "term").agg(*(F.sum(m).alias(m) for m in _MEASURES))
-    dictionary = term_dictionary(blocks)
-    encoded = blocks.join(dictionary, "term").select("range", "slot", *_MEASURES)
-    summed = encoded.mapInArrow(_count_arrays, _SUMS).groupBy("range").applyInArrow(_sum_arrays, "range int, slot int, occurrences long, records long, added long")
-    return dictionary.join(summed, ["range", "slot"]).select("term", *_MEASURES)
+    return encoded_frequencies(records, counted).select("term", *_MEASURES)
 
 
 def current_notes(notes: DataFrame) -> DataFrame:
@@ -127,10 +157,10 @@ def tag_frequencies(notes: DataFrame, counts: DataFrame, rare: int = 3, common_p
     more than `common_percent` of the current notes (where both hold, rare),
     else null.
     """
-    current = current_notes(notes)
-    total = current.count()
     terms = F.filter(F.transform(F.coalesce("tags", F.array()), folded), lambda t: t != "")
-    found = term_frequencies(current.select(F.col("note_id").alias("record_id"), terms.alias("terms")), archived_counts(counts))
+    current = cut_lineage(current_notes(notes).select(terms.alias("terms")))  # read three times
+    total = current.count()
+    found = term_frequencies(current, cut_lineage(archived_counts(counts)))
     uses = F.col("records") + F.col("added")
     mark = F.when(uses.between(1, rare), "rare").when(F.col("records") * 100 > common_percent * total, "common")
     return found.select(F.col("term").alias("tag"), "occurrences", F.col("records").alias("here"), F.col("added").alias("archived"), mark.alias("mark"))

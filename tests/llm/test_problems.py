@@ -9,6 +9,7 @@ import unicodedata
 from collections import Counter, defaultdict
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,6 +61,19 @@ def test_term_frequencies_against_counter(spark):
     assert {tuple(r) for r in found.collect()} == want
 
 
+def test_frequencies_of_long_records_and_many_blocks(spark):
+    long = [f"w{i % 70_000}" for i in range(200_000)]
+    rows = [(long,), (["w1", None, "w1"],), ([None],), ([],), (None,)]
+    frame = spark.createDataFrame(rows, "terms array<string>").coalesce(1)
+    found = {r.term: r for r in frequency.encoded_frequencies(frame).collect()}
+    assert len(found) == 70_000 == len({r.id for r in found.values()}) and len({r.id >> 32 for r in found.values()}) == 2
+    assert (found["w1"].occurrences, found["w1"].records, found["w69999"].occurrences) == (5, 2, 2)
+    batches = [pa.array([["a", "b"], ["a"]]), pa.array([["b", "a", "a"]])]
+    whole, parts = frequency.record_block(batches, 1), [frequency.record_block([b], 1) for b in batches]
+    summed = lambda found: {tuple(r.values())[1:] for r in frequency._sum_arrays(pa.Table.from_batches(found)).to_pylist()}
+    assert summed([whole]) == summed(parts) == {("a", 4, 3, 0), ("b", 2, 2, 0)}
+
+
 def test_tags_defined_cases(spark):
     notes = spark.createDataFrame(
         [(1, 1, ["old"], T0, None), (1, 2, [" A\\b ", "a/B", None, "  "], T0, None), (1, 2, [" A\\b ", "a/B", None, "  "], T0, None), (2, 1, ["gone"], T0, T0), (3, 1, None, T0, None), (4, None, ["x"], None, None), (None, 1, ["none"], T0, None)],
