@@ -55,7 +55,7 @@ def resolve_targets(targets: DataFrame, keys: DataFrame) -> DataFrame:
     """
     claims = key_claims(keys)
     asked = targets.select("target").distinct().withColumn("key", key_of(without_anchor(F.col("target")))).withColumn("slug", F.regexp_replace("key", SPACE_CLASS + "+", "-"))
-    ends = keys.select(F.explode(F.slice(path_suffixes(F.col("key")), 2, 99)).alias("end"), "path").distinct()
+    ends = keys.select(F.explode(F.slice(path_suffixes(F.col("key")), F.lit(2), F.size(F.split("key", "/")))).alias("end"), "path").distinct()
     asked_ends = asked.select("target", F.explode(F.array_distinct(F.array("key", "slug"))).alias("end"))
     by_end = asked_ends.join(ends, "end").groupBy("target").agg(F.when(F.count_distinct("path") == 1, F.min("path")).alias("end_path"))
     direct = claims.select("key", F.col("path").alias("key_path"), (F.col("claimants") > 1).alias("key_many"))

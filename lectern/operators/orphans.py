@@ -15,11 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import folded, reference_key, trimmed, without_anchor
+from lectern.sources.tables import cut_lineage
 
-#: A key is hot above this share of all references; there are at most 1 / share such keys.
-HOT_SHARE = 0.001
-#: Groups that a hot key's references are spread over.
-SALTS = 256
+#: References of one key that are sorted in one group, on average at most; those of a key with more are spread over as many groups as it takes.
+PER_GROUP = 250_000
 
 
 def path_suffixes(path: Column) -> Column:
@@ -82,30 +81,26 @@ def references(frame: DataFrame, table: str, target: Column, moment: str) -> Dat
     )
 
 
-def orphan_references(children: DataFrame, claims: DataFrame, parent_table: str = "vault_note") -> DataFrame:
+def orphan_references(children: DataFrame, claims: DataFrame, parent_table: str = "vault_note", per_group: int = PER_GROUP) -> DataFrame:
     """`table_name, ref_id, at` of every reference that no record claims at its moment.
 
     children: `table_name, ref_id, key, at`; claims: `key, begins, ends`. Defined
     cases: a claim holds at its first instant and no longer at its last; a
     reference delivered twice comes out once, with its first moment; references
     without moment or name are no cases; empty claims make every reference an
-    orphan. Keys above HOT_SHARE of the references (at most 1 / HOT_SHARE of
-    them, hence broadcast) are spread over SALTS groups, each with the key's
-    steps.
+    orphan. Keys with more than `per_group` references are spread over as many
+    groups as that takes, each with the key's steps.
     """
-    total = children.count()
-    hot = children.groupBy("key").count().filter(F.col("count") > max(10_000, HOT_SHARE * total)).select("key", F.lit(True).alias("hot"))
-    steps = claim_steps(claims)
+    children = cut_lineage(children)  # read twice
+    hot = children.groupBy("key").agg(F.ceil(F.count("*") / per_group).cast("int").alias("groups")).filter("groups > 1")
+    groups = F.coalesce("groups", F.lit(1))
 
-    def salted(frame: DataFrame, salts: Column) -> DataFrame:
-        return frame.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("hot"), salts).otherwise(F.array(F.lit(0)))).withColumn("salt", F.explode("salt")).drop("hot")
-
-    parents = salted(steps, F.sequence(F.lit(0), F.lit(SALTS - 1))).select(
+    parents = claim_steps(claims).join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), groups - 1))).select(
         F.lit(parent_table).alias("parent_table"), "key", "salt", "at", F.col("step").cast("int").alias("step"),
         F.lit(None).cast("string").alias("table_name"), F.lit(None).cast("long").alias("ref_id"),
     )
-    named = salted(children, F.array(F.pmod(F.xxhash64("ref_id"), F.lit(SALTS)).cast("int"))).select(
-        F.lit(parent_table).alias("parent_table"), "key", "salt", "at", F.lit(0).alias("step"), "table_name", "ref_id"
+    named = children.join(hot, "key", "left").select(
+        F.lit(parent_table).alias("parent_table"), "key", F.pmod(F.xxhash64("ref_id"), groups).cast("int").alias("salt"), "at", F.lit(0).alias("step"), "table_name", "ref_id"
     )
     # at one moment the parents' steps come first (null table names sort first)
     running = Window.partitionBy("parent_table", "key", "salt").orderBy("at", "table_name").rowsBetween(Window.unboundedPreceding, 0)

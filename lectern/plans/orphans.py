@@ -25,7 +25,7 @@ _FOUND = f"""
 with parts as (
   select note_id, arrived_at, deleted_at, unnest(list_concat([path, basename, title], coalesce(aliases, []),
     list_transform(range(2, 1 + len(string_split({sql_folded("path")}, '/'))),
-      lambda i: array_to_string(list_slice(string_split({sql_folded("path")}, '/'), i, 99), '/')))) as name
+      lambda i: array_to_string(list_slice(string_split({sql_folded("path")}, '/'), i, len(string_split({sql_folded("path")}, '/'))), '/')))) as name
   from vault_note),
 lives as (select note_id, min(arrived_at) as begins, max(deleted_at) as ends from vault_note group by note_id),
 claims as (

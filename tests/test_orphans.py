@@ -54,16 +54,14 @@ def test_empty_tables(spark):
 
 
 @pytest.mark.parametrize("hot", [False, True])
-def test_against_every_pair(spark, monkeypatch, hot):
-    if hot:  # every key is hot, so all groups are spread
-        monkeypatch.setattr(orphans, "HOT_SHARE", 0.0)
-        monkeypatch.setattr("builtins.max", lambda a, b, _max=max: 0 if (a, b) == (10_000, 0.0) else _max(a, b))
+def test_against_every_pair(spark, hot):
     random.seed(hot)
     keys = ["k1", "k2", "k3"]
     claims = [(random.choice(keys), at(b := random.randint(0, 20)), random.choice([None, at(b + random.randint(0, 8))])) for _ in range(12)]
     children = [("t", i, random.choice([*keys, "k1", "k1", "k4"]), at(random.randint(0, 30))) for i in range(400)]
     frame = orphans.orphan_references(
-        spark.createDataFrame(children, "table_name string, ref_id long, key string, at timestamp"), spark.createDataFrame(claims, "key string, begins timestamp, ends timestamp")
+        spark.createDataFrame(children, "table_name string, ref_id long, key string, at timestamp"), spark.createDataFrame(claims, "key string, begins timestamp, ends timestamp"),
+        per_group=5 if hot else orphans.PER_GROUP,
     )
     want = {i for _, i, k, t in children if not any(c == k and b <= t and (e is None or t < e) for c, b, e in claims)}
     assert {r.ref_id for r in frame.collect()} == want
