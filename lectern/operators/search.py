@@ -1,8 +1,11 @@
 """Search of many queries over many notes, with an explained additive ranking.
 
 Tokens meet words, not texts: a token is matched once against the distinct words
-of the collection (by a short piece of it, or by its stem), and the words' postings
-lead to the notes. No step compares every query with every note.
+of the collection, in any script (by a short piece of it, or by its stem), and the
+words' postings lead to the notes. A query's candidates come from its rarest tokens,
+one of which every answer must hold; the others are only looked up in those. No step
+compares every query with every note, and ranking reads the body of a note once for
+all tokens that are asked of it.
 """
 
 from __future__ import annotations
@@ -15,18 +18,21 @@ from pyspark.sql import functions as F
 from lectern.functions.stems import stems
 from lectern.functions.text import SPACE_CLASS, key_of
 from lectern.operators.catalog import clean_tags
+from lectern.operators.health import operational
 from lectern.operators.texts import body_of, words_of
 from lectern.sources.tables import cut_lineage
 
 # Words that are left out of queries.
-STOPWORDS = (
-    "a an the and or but if then else when how what where why who which whom whose do does did doing done is are was were be been being am "
-    "i me my mine we our you your to of in on at by for with from as into onto over under about against between without within through during "
-    "before after can could should would will shall may might must this that these those it its not no nor so than too very just also only own "
-    "same such any all each few more most other some up out off down again further once here there both either neither"
-).split()
+STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "if", "then", "else", "when", "how", "what", "where", "why", "who", "which", "whom", "whose", "do", "does",
+    "did", "doing", "done", "is", "are", "was", "were", "be", "been", "being", "am", "i", "me", "my", "mine", "we", "our", "you", "your", "to", "of",
+    "in", "on", "at", "by", "for", "with", "from", "as", "into", "onto", "over", "under", "about", "against", "between", "without", "within",
+    "through", "during", "before", "after", "can", "could", "should", "would", "will", "shall", "may", "might", "must", "this", "that", "these",
+    "those", "it", "its", "not", "no", "nor", "so", "than", "too", "very", "just", "also", "only", "own", "same", "such", "any", "all", "each", "few",
+    "more", "most", "other", "some", "up", "out", "off", "down", "again", "further", "once", "here", "there", "both", "either", "neither",
+]
 # Base name words that say little by themselves, and pages that only list others.
-GENERIC = "fail failed failure error errors bug fix issue issues".split()
+GENERIC = ["fail", "failed", "failure", "error", "errors", "bug", "fix", "issue", "issues"]
 OPERATIONAL = ["index"]
 
 
@@ -34,6 +40,7 @@ OPERATIONAL = ["index"]
 class Weights:
     """What each signal adds."""
 
+    # They must equal those that results are compared with.
     title_exact: int = 120
     alias_exact: int = 100
     alias_token: int = 30
@@ -102,7 +109,7 @@ def _pieces(words: DataFrame) -> DataFrame:
 
 
 def matching_words(tokens: DataFrame, words: DataFrame, stemmed: bool = True) -> DataFrame:
-    """`token, word`: words that hold the token or, if `stemmed`, share its stem.
+    """`token, word`: words that hold the token or, if `stemmed`, a run of letters and digits with its stem.
 
     Joined on a piece of up to three characters the token begins with, so that
     only words with that piece are looked at.
@@ -111,32 +118,83 @@ def matching_words(tokens: DataFrame, words: DataFrame, stemmed: bool = True) ->
     holding = _pieces(words).join(asked.withColumn("piece", F.substring("token", 1, 3)), "piece").filter(F.contains("word", "token"))
     found = holding.select("token", "word")
     if stemmed:
-        one = lambda frame, name: frame.withColumn("stem", stems(F.array(name))[0])
-        found = found.unionByName(one(asked, "token").join(one(words, "word"), "stem").select("token", "word"))
+        runs = words.select("word", F.explode(F.array_distinct(words_of(F.col("word")))).alias("run"))
+        one = lambda frame, name: frame.select(name).distinct().withColumn("stem", stems(F.array(name))[0])
+        found = found.unionByName(one(asked, "token").join(one(runs, "run"), "stem").join(runs, "run").select("token", "word"))
     return found.distinct()
 
 
-def search_hits(features: DataFrame, queries: DataFrame, stemmed: bool = True) -> DataFrame:
+def word_postings(features: DataFrame) -> DataFrame:
+    """`note_id, word` of what stands between white space in the notes' texts, each word of a note once; written down, for it is read often."""
+    return cut_lineage(features.select("note_id", F.explode(F.array_distinct(F.split("text", SPACE_CLASS + "+"))).alias("word")).filter("word <> ''"))
+
+
+def search_hits(features: DataFrame, queries: DataFrame, stemmed: bool = True, include_operational: bool = True, least: int | None = None, postings: DataFrame | None = None) -> DataFrame:
     """`query_id, note_id, matched, mode`: the notes that answer each query.
 
-    All tokens must match; where fewer than 3 notes hold them all, notes with
-    half of the tokens (two at least) answer if they are more. Queries of one
-    token match literally, without stems. Tokens are runs of letters and digits,
-    as the words of the texts are.
+    queries: `query_id, query`, or `query_id, tokens` as they are; notes must carry
+    all tags of the column `tags`, where there is one. A token is what stands
+    between white space, in any script; it matches a text that holds it or a word
+    with its stem. All tokens must match; where fewer than 3 notes hold them all,
+    notes with half of the tokens (two at least) answer if they are more. With
+    `least`, so many tokens are enough. Queries of one token match literally,
+    without stems. `postings` are those of `word_postings` for the notes searched,
+    where they are there already.
     """
-    asked = query_tokens(queries)
-    tokens = asked.select("query_id", F.size("tokens").alias("size"), F.explode(F.array_distinct("tokens")).alias("token"), F.size(F.array_distinct("tokens")).alias("distinct"))
-    postings = cut_lineage(features.select("note_id", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")))  # read four times
+    asked = queries.select("query_id", "tokens") if "tokens" in queries.columns else query_tokens(queries)
+    own = F.array_distinct("tokens")
+    half = F.when(F.size(own) > 1, F.greatest(F.lit(2), F.ceil(F.size(own) / 2))).otherwise(1) if least is None else F.least(F.lit(least), F.size(own))
+    tokens = asked.select("query_id", (F.size("tokens") == 1).alias("single"), F.size(own).alias("distinct"), half.cast("int").alias("half"), F.explode(own).alias("token"))
+    notes = features if include_operational else features.filter(~operational(F.col("path")))
+    postings = word_postings(notes) if postings is None else postings
     words = postings.select("word").distinct()
-    exact = matching_words(tokens.filter("size = 1"), words, False).withColumn("single", F.lit(True))
-    loose = matching_words(tokens.filter("size > 1"), words, stemmed).withColumn("single", F.lit(False))
-    by_word = tokens.withColumn("single", F.col("size") == 1).join(exact.unionByName(loose), ["token", "single"]).select("query_id", "distinct", "token", "word")
-    matched = by_word.join(postings, "word").groupBy("query_id", "note_id").agg(F.count_distinct("token").alias("matched"), F.first("distinct").alias("distinct"))
-    all_ = F.col("matched") == F.col("distinct")
-    half = F.col("matched") >= F.when(F.col("distinct") > 1, F.greatest(F.lit(2), F.ceil(F.col("distinct") / 2))).otherwise(1)
-    counts = matched.groupBy("query_id").agg(F.count_if(all_).alias("with_all"), F.count_if(half).alias("with_half"))
-    loosened = (F.col("distinct") > 1) & (F.col("with_all") < 3) & (F.col("with_half") > F.col("with_all"))
-    return matched.join(counts, "query_id").filter(F.when(loosened, half).otherwise(all_)).select("query_id", "note_id", "matched", F.when(loosened, "or").otherwise("and").alias("mode"))
+    exact = matching_words(tokens.filter("single"), words, False).withColumn("single", F.lit(True))
+    loose = matching_words(tokens.filter("not single"), words, stemmed).withColumn("single", F.lit(False))
+    # the notes of each token, and the tokens of each query, rarest first
+    found = cut_lineage(exact.unionByName(loose).join(postings, "word").select("token", "single", "note_id").distinct())  # read three times
+    rarity = found.groupBy("token", "single").agg(F.count("*").alias("notes"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("notes", F.lit(0)), "token"))
+    ordered = tokens.join(rarity, ["token", "single"], "left").withColumn("place", place)
+    # a note with `half` of the tokens holds one of all but that many less one, so the rarest of them are enough
+    candidates = ordered.filter("place <= distinct - half + 1").join(found, ["token", "single"]).select("query_id", "note_id").distinct()
+    if "tags" in queries.columns:
+        wanted = queries.select("query_id", clean_tags(F.col("tags")).alias("wanted"))
+        candidates = candidates.join(wanted, "query_id").join(notes.select("note_id", F.col("tags").alias("own")), "note_id").filter("size(array_except(wanted, own)) = 0").select("query_id", "note_id")
+    held = candidates.join(ordered.select("query_id", "token", "single", "distinct", "half"), "query_id").join(found, ["token", "single", "note_id"])
+    matched = held.groupBy("query_id", "note_id").agg(F.count("*").cast("long").alias("matched"), F.first("distinct").alias("distinct"), F.first("half").alias("half"))
+    all_, enough = F.col("matched") == F.col("distinct"), F.col("matched") >= F.col("half")
+    counts = matched.groupBy("query_id").agg(F.count_if(all_).alias("with_all"), F.count_if(enough).alias("with_half"))
+    loosened = (F.col("distinct") > 1) & (F.col("with_all") < 3) & (F.col("with_half") > F.col("with_all")) if least is None else F.lit(True)
+    return matched.join(counts, "query_id").filter(F.when(loosened, enough).otherwise(all_)).select("query_id", "note_id", "matched", F.when(loosened, "or").otherwise("and").alias("mode"))
+
+
+def search(features: DataFrame, queries: DataFrame, words: DataFrame, vocabulary: DataFrame | None = None, include_operational: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hits `query_id, note_id, matched, mode`, the queries as asked in the end `query_id, query`, and `query_id, expanded`.
+
+    A query without any hit is asked again with its tokens corrected by `words`
+    (`word, notes`), where that changes them. Then notes with a word that
+    `vocabulary` (`source, other`) adds to the tokens are hits too, mode `expanded`.
+    """
+    extra = queries.select("query_id", *(c for c in ("tags",) if c in queries.columns))
+    notes = features if include_operational else features.filter(~operational(F.col("path")))
+    postings = word_postings(notes)
+    find = lambda asked, least=None: search_hits(notes, asked.join(extra, "query_id"), True, True, least, postings)
+    asked = query_tokens(queries)
+    hits = cut_lineage(find(asked))  # read twice
+    failed = asked.join(hits.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.posexplode("tokens").alias("at", "token"))
+    right = failed.join(corrected_tokens(failed.select("token"), words), "token", "left")
+    again = right.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("at", F.coalesce("corrected", "token").alias("token"))))["token"].alias("tokens"), F.count("corrected").alias("changed"))
+    again = cut_lineage(again.filter("changed > 0").drop("changed"))  # read three times
+    final = asked.join(again.withColumnRenamed("tokens", "corrected"), "query_id", "left").select("query_id", F.coalesce("corrected", "tokens").alias("tokens"))
+    if not again.isEmpty():
+        hits = hits.unionByName(find(again))
+    as_asked = final.select("query_id", F.array_join("tokens", " ").alias("query"))
+    none = F.array().cast("array<string>")
+    added = final.select("query_id", none.alias("expanded")).limit(0) if vocabulary is None else cut_lineage(expansions(vocabulary, as_asked))  # read three times
+    if vocabulary is not None and not added.isEmpty():
+        found = find(added.withColumnRenamed("expanded", "tokens"), 1).withColumn("mode", F.lit("expanded"))
+        hits = hits.unionByName(found.join(hits.select("query_id", "note_id"), ["query_id", "note_id"], "left_anti"))
+    return hits, as_asked, added
 
 
 def expansions(vocabulary: DataFrame, queries: DataFrame) -> DataFrame:
@@ -152,13 +210,9 @@ def _segments(text: Column) -> Column:
 
 
 def _prepared(features: DataFrame) -> DataFrame:
-    """Words and stems of each field that ranking compares."""
-    headings = F.filter(F.split("body", "\n"), lambda line: F.regexp_like(line, F.lit(r"^#{1,6}[ \t]")))
-    # each character that is in no word becomes a space, so that a word is met between spaces at its place
-    spaced = lambda text: F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9]", " "), F.lit(" "))
-    with_words = lambda line: F.struct(line.alias("line"), spaced(line).alias("words"))
+    """Words and stems of each short field that ranking compares."""
     words = features.select(
-        "*", spaced(F.col("body")).alias("body_words"), F.transform(F.split("body", "\n"), with_words).alias("lines"), F.transform(headings, with_words).alias("heading_lines"), key_of(F.col("title")).alias("title_n"), key_of(F.col("basename")).alias("base_n"), key_of(F.col("path")).alias("path_n"),
+        "note_id", "path", "lifecycle", "updated", "aliases", "tags", "summary", "surface", key_of(F.col("title")).alias("title_n"), key_of(F.col("basename")).alias("base_n"), key_of(F.col("path")).alias("path_n"),
         _segments(F.col("title")).alias("title_w"), _segments(F.col("basename")).alias("base_w"), _segments(F.col("path")).alias("path_w"),
         words_of(F.col("summary")).alias("summary_w"), words_of(F.col("surface")).alias("surface_w"),
         F.transform("tags", lambda t: F.array_distinct(F.concat(F.array(t), F.split(t, r"[\-_/]")))).alias("tag_w"),
@@ -167,6 +221,39 @@ def _prepared(features: DataFrame) -> DataFrame:
     return words.select("*", *(s.alias(c) for c, s in stemmed.items()), stems("aliases").alias("alias_s"), stems(F.flatten("tag_w")).alias("tag_s"))
 
 
+def _in_bodies(features: DataFrame, asked: DataFrame) -> DataFrame:
+    """`query_id, note_id` with what the bodies say of the tokens: `heading_hits, heading_tokens, snippets, first, last, lacking, expanded_in_body`.
+
+    asked: `query_id, note_id, t, forms, own`; a token is on a line that holds it or
+    one of its forms as a word. A note's body is read once for all its tokens.
+    """
+    # each character that is in no word becomes a space, so that a word is met between spaces at its place
+    spaced = lambda text: F.concat(F.lit(" "), F.regexp_replace(text, "[^a-z0-9]", " "), F.lit(" "))
+    wanted = asked.groupBy("note_id").agg(F.collect_set(F.struct("t", "forms")).alias("asked")).join(features.select("note_id", "body"), "note_id")
+    lines = F.transform(F.split("body", "\n"), lambda line: F.struct(line.alias("line"), spaced(line).alias("words"), F.regexp_like(line, F.lit(r"^#{1,6}[ \t]")).alias("heading")))
+    wanted = wanted.select("note_id", "asked", "body", spaced(F.col("body")).alias("body_words"), lines.alias("lines"))
+    as_word = lambda v: F.nullif(F.position(F.concat(F.lit(" "), v, F.lit(" ")), F.col("body_words")), F.lit(0))
+    on_line = lambda x, line: F.contains(line["line"], x["t"]) | F.exists(x["forms"], lambda v: F.contains(line["words"], F.concat(F.lit(" "), v, F.lit(" "))))
+
+    def of_token(x: Column) -> Column:
+        place = F.when(F.contains(F.col("body"), x["t"]), F.position(x["t"], F.col("body"))).otherwise(F.array_min(F.transform(x["forms"], as_word)))
+        at = F.filter(F.transform("lines", lambda line, i: F.when(on_line(x, line), F.struct(i.alias("i"), line["heading"].alias("heading")))), lambda v: v.isNotNull())
+        return F.struct(x["t"].alias("t"), x["forms"].alias("forms"), place.alias("place"), at.alias("at"))
+
+    found = wanted.select("note_id", F.inline(F.transform("asked", of_token)))
+    heads = F.transform(F.filter("at", lambda v: v["heading"]), lambda v: v["i"])
+    rows = asked.join(found, ["note_id", "t", "forms"]).select("*", F.transform("at", lambda v: v["i"]).alias("at_lines"), heads.alias("heads"))
+    mine = lambda c: F.when(F.col("own"), F.col(c))
+    by = rows.groupBy("query_id", "note_id").agg(
+        F.collect_list(mine("heads")).alias("heads"), F.collect_list(mine("at_lines")).alias("at_lines"), F.min(mine("place")).alias("first"), F.max(mine("place")).alias("last"),
+        F.count_if(F.col("own") & F.col("place").isNull()).alias("lacking"), F.collect_set(F.when(~F.col("own") & F.col("place").isNotNull(), F.col("t"))).alias("expanded_in_body"),
+    )
+    in_all = F.when(F.size("heads") > 0, F.aggregate("heads", F.col("heads")[0], lambda a, b: F.array_intersect(a, b))).otherwise(F.array().cast("array<int>"))
+    return by.select(
+        "query_id", "note_id", F.size(in_all).alias("heading_hits"), F.size(F.flatten("heads")).alias("heading_tokens"), F.size(F.array_distinct(F.flatten("at_lines"))).alias("snippets"), "first", "last", "lacking", "expanded_in_body"
+    )
+
+
 def _forms(asked: DataFrame, features: DataFrame) -> DataFrame:
     """`query_id, forms`: each token with the words of all bodies that share its stem; queries of one token have none.
 
@@ -196,8 +283,17 @@ def rank(features: DataFrame, hits: DataFrame, queries: DataFrame, now: Column,
     asked = asked.withColumn("stems", stems("tokens")).withColumn("q", F.transform(F.arrays_zip("tokens", "stems"), lambda x: F.struct(x["tokens"].alias("t"), x["stems"].alias("s"))))
     earlier = lambda x, i: ~F.array_contains(F.transform(F.slice("q", 1, i), lambda y: y["s"]), x["s"])
     asked = asked.select("query_id", key_of(F.array_join("tokens", " ")).alias("query"), "q", F.filter("q", earlier).alias("sem"))
-    rows = hits.select("query_id", "note_id").join(asked.join(_forms(asked, features), "query_id"), "query_id").join(_prepared(features), "note_id")
-    rows = rows.withColumn("expanded", F.array().cast("array<string>")) if expanded is None else rows.join(expanded, "query_id", "left").withColumn("expanded", F.coalesce("expanded", F.array()))
+    hits = hits.select("query_id", "note_id").distinct()
+    features = features.join(hits.select("note_id").distinct(), "note_id", "left_semi")
+    forms = _forms(asked, features)
+    own = hits.join(forms, "query_id").select("query_id", "note_id", F.inline("forms"), F.lit(True).alias("own")).distinct()
+    none = F.array().cast("array<string>")
+    if expanded is None:
+        rows = hits.join(asked, "query_id").withColumn("expanded", none)
+    else:
+        rows = hits.join(asked, "query_id").join(expanded, "query_id", "left").withColumn("expanded", F.coalesce("expanded", none))
+        own = own.unionByName(rows.select("query_id", "note_id", F.explode("expanded").alias("t"), none.alias("forms"), F.lit(False).alias("own")))
+    rows = rows.join(_in_bodies(features, own), ["query_id", "note_id"]).join(_prepared(features), "note_id")
 
     c = F.col
     word = lambda x, ws, ss: F.array_contains(ws, x["t"]) | F.array_contains(ss, x["s"]) | (F.char_length(x["t"]) >= 4) & F.exists(ws, lambda v: F.startswith(v, x["t"]))
@@ -211,9 +307,6 @@ def rank(features: DataFrame, hits: DataFrame, queries: DataFrame, now: Column,
     title_words = _count("sem", lambda x: of(x, "title") | F.exists("title_w", lambda v: F.contains(v, x["t"])))
     path_hits = _count("sem", lambda x: F.contains(c("path_n"), x["t"]) | F.contains(c("base_n"), x["t"]) | of(x, "base") | of(x, "path"))
 
-    on_line = lambda x, line: F.contains(line["line"], x["t"]) | F.exists(x["forms"], lambda v: F.contains(line["words"], F.concat(F.lit(" "), v, F.lit(" "))))
-    as_word = lambda v: F.nullif(F.position(F.concat(F.lit(" "), v, F.lit(" ")), c("body_words")), F.lit(0))
-
     def compound(state: Column, x: Column) -> Column:
         """Takes the first segment not yet taken that the token matches, else counts a match anywhere in the name."""
         fits = lambda v, i: ~F.array_contains(state["used"], i) & (F.contains(v, x["t"]) | (F.element_at("base_s", i + 1) == x["s"]) | (F.char_length(x["t"]) >= 4) & F.startswith(v, x["t"]))
@@ -231,9 +324,6 @@ def rank(features: DataFrame, hits: DataFrame, queries: DataFrame, now: Column,
         "exact": exact, "title_hits": title_hits, "title_words": title_words, "path_hits": path_hits, "alias_hits": alias_hits, "compound": compound_hits, "primary": primary,
         "density": F.least(F.lit(1.0), specific / F.greatest(F.size("title_w"), F.lit(1))),
         "surface_hits": _count("sem", lambda x: text(x, "surface")),
-        "heading_hits": _count("heading_lines", lambda line: F.forall("forms", lambda x: on_line(x, line))),
-        "snippets": _count("lines", lambda line: F.exists("forms", lambda x: on_line(x, line))),
-        "places": F.transform("forms", lambda x: F.when(F.contains(c("body"), x["t"]), F.position(x["t"], c("body"))).otherwise(F.array_min(F.transform(x["forms"], as_word)))),
     })
     p = c("primary")
     generic = p["t"].isin(GENERIC)
@@ -242,9 +332,9 @@ def rank(features: DataFrame, hits: DataFrame, queries: DataFrame, now: Column,
     leading = p.isNotNull() & ~weak & F.exists("base_w", lambda v: F.startswith(v, p["t"]))
     tag_hits = _count("tag_w", lambda parts: F.exists("q", lambda x: word(x, parts, F.array_intersect(F.col("tag_s"), F.array(x["s"])))))
     in_summary, in_tags = F.forall("q", lambda x: text(x, "summary")), F.forall("q", lambda x: word(x, F.flatten("tag_w"), c("tag_s")) | F.exists("tags", lambda t: F.contains(t, x["t"])))
-    focused = (c("compound") >= 2) | (c("density") >= 0.4) | (c("heading_hits") > 0) | (F.aggregate("forms", F.lit(0), lambda n, x: n + _count("heading_lines", lambda line: on_line(x, line))) >= 2)
-    span = F.array_max("places") - F.array_min("places")
-    near = F.when((all_size < 2) | F.exists("places", lambda x: x.isNull()), 0)
+    focused = (c("compound") >= 2) | (c("density") >= 0.4) | (c("heading_hits") > 0) | (c("heading_tokens") >= 2)
+    span = c("last") - c("first")
+    near = F.when((all_size < 2) | (c("lacking") > 0), 0)
     for most, worth in w.proximity:
         near = near.when(span <= most, worth)
     updated = F.try_to_timestamp("updated")
@@ -272,7 +362,7 @@ def rank(features: DataFrame, hits: DataFrame, queries: DataFrame, now: Column,
         "headings": F.least(F.lit(w.heading_cap), c("heading_hits") * w.heading),
         "proximity": near,
         "snippets": F.least("snippets", F.when(c("title_hits") == all_size, w.snippets[0]).when(c("title_hits") > 0, w.snippets[1]).otherwise(w.snippets[2])),
-        "expanded": _count("expanded", lambda t: F.contains(c("surface"), t) | F.contains(c("body"), t)) * w.expanded,
+        "expanded": _count("expanded", lambda t: F.contains(c("surface"), t) | F.array_contains("expanded_in_body", t)) * w.expanded,
         "verified": F.when(c("lifecycle") == "verified", w.verified),
         "stale": F.when(F.floor((F.unix_timestamp(now) - F.unix_timestamp(updated)) / 86400) > w.stale_days, w.stale),
         "concept": F.when(concept, F.when(size >= 3, w.concept_multi).otherwise(w.concept)),
