@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import bundles, catalog, health, measures, rules, sessions, versions
-from lectern.plans.catalog import NOTES
+from lectern.functions.text import sql_key
+from lectern.operators.versions import LINK
+from lectern.plans.catalog import NOTES, resolution_sql
 from lectern.sources.tables import read_table
 from lectern.streaming import links as stream
 
@@ -103,11 +105,15 @@ def merged_versions(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def rewritten_links(spark: SparkSession, directory: str) -> DataFrame:
-    """Documents whose links name a current note's path, all of which move to `moved/`."""
-    path = F.regexp_replace("path", r"\.md$", "")
-    moves = _catalog(spark, directory).select(path.alias("old")).distinct().select("old", F.concat(F.lit("moved/"), "old").alias("new"))
-    found = versions.rewritten(read_table(spark, directory, "documents").filter("text is not null").select("doc_id", "text"), "doc_id", "text", moves.filter("old <> ''"))
-    return found.select("doc_id", "rewritten", F.sha2("content", 256).alias("digest"))
+    """Documents, sections and single links that name current notes, all of which move to `moved/`."""
+    notes = _catalog(spark, directory)
+    moves = notes.filter("path is not null").select(F.col("path").alias("old")).distinct().withColumn("new", F.concat(F.lit("moved/"), "old"))
+    texts = read_table(spark, directory, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text")
+    texts = texts.unionByName(_sections(spark, directory).select(F.concat(F.lit("s"), "section_id").alias("id"), F.col("content").alias("text")))
+    single = read_table(spark, directory, "extracted_wikilink").select("ref_id", "target", "embed").distinct()
+    texts = texts.unionByName(single.select(F.concat(F.lit("l"), "ref_id").alias("id"), F.concat(F.when(F.col("embed"), "!").otherwise(""), F.lit("[["), "target", F.lit("|said]] here")).alias("text")))
+    found = versions.rewritten(texts, "id", "text", moves, catalog.note_keys(notes))
+    return found.select("id", "rewritten", F.sha2("content", 256).alias("digest"))
 
 
 def streamed_links(spark: SparkSession, directory: str) -> DataFrame:
@@ -197,5 +203,12 @@ SQL = {
     "change_outcomes": f"with {_VERSIONS} select key, action, status from judged",
     "merged_versions": f"with {_VERSIONS} select key, revision from current where key not in (select key from judged where status = 'applied') union all select key, revision from judged where status = 'applied' and action <> 'delete'",
     "version_history": f"with {_VERSIONS}, p as (select key, version, row_number() over (partition by key order by arrived_at desc nulls last, version desc) as place from revised) select * from p where place <= 2",
+    "rewritten_links": f"""with {resolution_sql("select id, text, unnest(regexp_extract_all(text, $$" + LINK + "$$, 2)) as target from texts").replace("notes as (", f"{_SECTIONS}, texts as (select 'd' || doc_id as id, text from documents union all select 's' || section_id, content from sections union all select distinct 'l' || ref_id, case when embed then '!' else '' end || '[[' || target || '|said]] here' from extracted_wikilink), notes as (", 1)},
+        aimed as (select target, path, {sql_key("split_part(target, '#', 1)")} as k, regexp_replace(replace('moved/' || path, chr(92), '/'), '(?i)\\.md$', '') as bare from resolved where path is not null),
+        renamed as (select target, case when contains(k, '/') then bare else split_part(bare, '/', -1) end || rtrim(substr(target, length(split_part(target, '#', 1)) + 1)) as target2 from aimed where split_part(k, '/', -1) = split_part({sql_key("path")}, '/', -1)),
+        m as (select id, map_from_entries(list(distinct {{'k': target, 'v': target2}})) as m from once join renamed using (target) group by id),
+        cut as (select id, m, regexp_split_to_array(text, $${LINK}$$) as p, regexp_extract_all(text, $${LINK}$$, 0) as w, regexp_extract_all(text, $${LINK}$$, 1) as b, regexp_extract_all(text, $${LINK}$$, 2) as t, regexp_extract_all(text, $${LINK}$$, 3) as l from texts join m using (id))
+        select id, len(list_filter(t, lambda x: m[x] is not null)) as rewritten,
+            sha256(array_to_string(list_transform(range(1, len(p) + 1), lambda i: p[i] || coalesce(case when m[t[i]] is null then w[i] else b[i] || '[[' || m[t[i]] || l[i] || ']]' end, '')), '')) as digest from cut""",
     "streamed_links": "select date_trunc('day', seen_at) as day, count(*) as links, count(*) filter (where embed) as embeds from (select distinct ref_id, seen_at, embed from extracted_wikilink) group by 1",
 }

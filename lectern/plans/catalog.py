@@ -72,9 +72,7 @@ keys as (
 claims as (select key, min(path) as path, count(distinct path) as claimants from keys group by key)
 """
 _TARGET = sql_key("split_part(target, '#', 1)")
-LINKS = f"""
-{KEYS},
-once as (select distinct ref_id, note_path as source, target from extracted_wikilink where target is not null and {_TARGET} <> ''),
+_RESOLVED = f"""
 asked as (select distinct target, {_TARGET} as key, regexp_replace({_TARGET}, '{SPACE_CLASS}+', '-', 'g') as slug from once),
 ends as (
   select distinct array_to_string(p[i:], '/') as tail, path
@@ -84,7 +82,17 @@ by_end as (
   from (select target, key as tail from asked union select target, slug from asked) join ends using (tail) group by target),
 resolved as (
   select a.target, case when k.claimants > 1 then null when k.path is not null then k.path when s.claimants > 1 then null else coalesce(s.path, e.end_path) end as path
-  from asked a left join claims k on k.key = a.key left join claims s on s.key = a.slug left join by_end e on e.target = a.target),
+  from asked a left join claims k on k.key = a.key left join claims s on s.key = a.slug left join by_end e on e.target = a.target)
+"""
+
+
+def resolution_sql(once: str) -> str:
+    """The resolution of the column `target` of the rows `once`."""
+    return f"{KEYS}, once as ({once}), {_RESOLVED}"
+
+
+LINKS = f"""
+{resolution_sql(f"select distinct ref_id, note_path as source, target from extracted_wikilink where target is not null and {_TARGET} <> ''")},
 links as (select ref_id, source, target, path from once left join resolved using (target)),
 pairs as (select distinct source, path from links where path is not null and source is not null)
 """

@@ -18,12 +18,22 @@ def note_files(spark: SparkSession, root: str) -> DataFrame:
 
     The content column is only read where a query asks for it.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(_roots(spark, root))
     path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), ".*?" + _quoted(root.rstrip("/")) + "/", "")
     rows = files.select(path.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
     return rows.filter(~F.regexp_like("path", F.lit(r"(^|/)\."))).select("path", _name(F.col("path")).alias("name"), "size", "mtime", "content")
 
 
+def _roots(spark: SparkSession, root: str) -> list[str]:
+    """The folder, and each folder or note below it whose name begins with `_`, which Spark only reads where it is named."""
+    hadoop, found, above = spark._jvm.org.apache.hadoop.fs, [root], root.rstrip("/")
+    files = hadoop.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    while any(status.isDirectory() for status in files.globStatus(hadoop.Path(f"{above}/*")) or []):
+        found += [status.getPath().toString() for status in files.globStatus(hadoop.Path(f"{above}/_*")) if status.isDirectory() or status.getPath().getName().endswith(".md")]
+        above += "/*"
+    return found
+
+
 def _quoted(text: str) -> str:
     return r"\Q" + text + r"\E"
 
@@ -39,9 +49,9 @@ def read_notes(spark: SparkSession, root: str, most: int = MOST_BYTES) -> tuple[
     return notes, files.filter(F.col("size") > most).select("path", "size")
 
 
-def signatures(files: DataFrame) -> DataFrame:
-    """`path, digest` of files: of size, time and the first 4,096 bytes."""
-    head = F.substr("content", F.lit(1), F.lit(4096))
+def signatures(files: DataFrame, prefix: int | None = None) -> DataFrame:
+    """`path, digest` of files: of size, time and content, or only its first `prefix` bytes."""
+    head = F.col("content") if prefix is None else F.substr("content", F.lit(1), F.lit(prefix))
     return files.select("path", F.sha2(F.concat_ws("|", F.col("size").cast("string"), F.col("mtime").cast("string"), F.sha2(head, 256)), 256).alias("digest"))
 
 

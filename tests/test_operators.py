@@ -91,9 +91,13 @@ def test_filled_against_greedy(spark, rows):
 def test_links_to_every_note_are_rewritten(spark, tmp_path):
     notes = catalog.current_catalog(spark.read.parquet(f"{SMALL}/vault_note.parquet")).select("note_id", "path").filter("path like '%.md'").collect()
     spark.read.parquet(f"{SMALL}/vault_note.parquet").write.parquet(str(tmp_path / "vault_note.parquet"))
+    keys = catalog.note_keys(catalog.current_catalog(spark.read.parquet(f"{SMALL}/vault_note.parquet")))
+    once = {r.target for r in catalog.resolve_targets(spark.createDataFrame([(r.path[:-3],) for r in notes], "target string"), keys).filter("path is not null").collect()}
     texts_ = [(r.note_id, f"see [[{r.path[:-3]}]]") for r in notes]
     spark.createDataFrame(texts_, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    assert {r.doc_id for r in analytics.rewritten_links(spark, str(tmp_path)).collect()} == {r.note_id for r in notes}
+    spark.createDataFrame([], "section_id long, content string").write.parquet(str(tmp_path / "section_slice.parquet"))
+    spark.createDataFrame([], "ref_id long, target string, embed boolean").write.parquet(str(tmp_path / "extracted_wikilink.parquet"))
+    assert {r.id for r in analytics.rewritten_links(spark, str(tmp_path)).collect()} == {f"d{r.note_id}" for r in notes if r.path[:-3] in once} and len(once) > 0.9 * len(notes)
 
 
 def test_ranked_search_reads_all_sections(spark):
@@ -153,9 +157,18 @@ def test_rules_and_versions(spark):
     assert [(r.char, r.times) for r in rules.character_findings(frame, "id", "text", known).orderBy("char").collect()] == [(" ", 1), ("—", 1)]
     code = spark.createDataFrame([(1, "We delve. `delve`\n```\ndelve\n```\n[x](delve) édelve delved")], "id long, text string")
     assert [(r.phrase, r.times) for r in rules.phrase_findings(code, "id", "text", ["delve"]).collect()] == [("delve", 2)]
-    moves = spark.createDataFrame([("a/old", "b/new")], "old string, new string")
-    moved = versions.rewritten(spark.createDataFrame([(1, "[[a/old#x|l]] ![[old]] [[older]]"), (2, "[[z]]")], "id long, text string"), "id", "text", moves).collect()
-    assert [(r.id, r.content) for r in moved] == [(1, "[[b/new#x|l]] ![[new]] [[older]]")]
+    moves = spark.createDataFrame([("a/old.md", "b/new.md")], "old string, new string")
+    keys = spark.createDataFrame([("a/old", "a/old.md"), ("old", "a/old.md"), ("title", "a/old.md")], "key string, path string")
+    moved = versions.rewritten(spark.createDataFrame([(1, "[[a/old#x|l]] ![[old]] [[older]]"), (2, "[[z]] [[Title]]"), (3, None)], "id long, text string"), "id", "text", moves, keys).collect()
+    assert [(r.id, r.content, r.rewritten) for r in moved] == [(1, "[[b/new#x|l]] ![[new]] [[older]]", 2)]
+
+
+def test_moves_do_not_cascade_and_ask_which_note_is_meant(spark):
+    moves = spark.createDataFrame([("x/a.md", "x/b.md"), ("x/b.md", "x/c.md"), ("p/same.md", "q/same2.md")], "old string, new string")
+    keys = spark.createDataFrame([("x/a", "x/a.md"), ("a", "x/a.md"), ("x/b", "x/b.md"), ("b", "x/b.md"), ("p/same", "p/same.md"), ("same", "p/same.md"), ("r/same", "r/same.md"), ("same", "r/same.md")], "key string, path string")
+    text = "[[a]] [[b]] [[ X\\A.md ]] [[same]] [[p/same#^id|p]] ![[r/same]] tail"
+    (row,) = versions.rewritten(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text", moves, keys).collect()
+    assert row.content == "[[b]] [[c]] [[x/b]] [[same]] [[q/same2#^id|p]] ![[r/same]] tail" and row.rewritten == 4
 
 
 def test_ranking_signals(spark):

@@ -13,13 +13,13 @@ from lectern.streaming import links
 
 
 def test_note_folder(spark, tmp_path):
-    for name, text in {"a b/One+x.md": "---\ntitle: First\ntags: [x, 'Y z']\nupdated: 2025-01-01\n---\nbody", "two.md": "plain", ".trash/old.md": "no", "a b/.hidden.md": "no", "big.md": "x" * 5000, "other.txt": "no"}.items():
-        (tmp_path / name).parent.mkdir(exist_ok=True)
+    for name, text in {"a b/One+x.md": "---\ntitle: First\ntags: [x, 'Y z']\nupdated: 2025-01-01\n---\nbody", "two.md": "plain", ".trash/old.md": "no", "a b/.hidden.md": "no", "big.md": "x" * 5000, "other.txt": "no", "_meta/words.md": "w", "a b/_drafts/d.md": "d"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
         (tmp_path / name).write_text(text)
     read, skipped = notes.read_notes(spark, str(tmp_path), 4096)
     assert {(r.path, r.size) for r in skipped.collect()} == {("big.md", 5000)}
-    assert {r.path: r.raw for r in read.collect()}.keys() == {"a b/One+x.md", "two.md"}
-    found = {r.path: (r.title, r.tags, r.updated, r.has_fields) for r in notes.catalog_of(read).collect()}
+    assert {r.path: r.raw for r in read.collect()}.keys() == {"a b/One+x.md", "two.md", "_meta/words.md", "a b/_drafts/d.md"}
+    found = {r.path: (r.title, r.tags, r.updated, r.has_fields) for r in notes.catalog_of(read.filter("size > 1")).collect()}
     assert found == {"a b/One+x.md": ("First", ["x", "Y z"], "2025-01-01", True), "two.md": ("two", [], None, False)}
     before = spark.createDataFrame(notes.signatures(notes.note_files(spark, str(tmp_path))).collect(), "path string, digest string")
     (tmp_path / "two.md").write_text("plainer")
