@@ -56,8 +56,10 @@ def bundle_quality(items: DataFrame, budget: int = BUDGET) -> DataFrame:
 
 
 def _shingle_sets(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """`key, digest, set`: each text's set of five-word shingles, and a digest that stands for it in groups and joins."""
     worded = texts.select(key, words_of(F.col(text)).alias("words")).filter("size(words) > 0")
-    return worded.select(key, F.sort_array(F.transform(shingles(F.col("words")), lambda s: F.xxhash64(s))).alias("set"))
+    sets = worded.select(key, F.sort_array(F.transform(shingles(F.col("words")), lambda s: F.xxhash64(s))).alias("set"))
+    return sets.select(key, F.struct(F.xxhash64("set").alias("a"), F.xxhash64(F.lit(1), "set").alias("b")).alias("digest"), "set")
 
 
 def shingle_classes(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -66,8 +68,8 @@ def shingle_classes(texts: DataFrame, key: str, text: str) -> DataFrame:
     With the pairs of `similar_texts`, which name classes, these give all similar
     texts: members of one class are as similar as can be.
     """
-    sets = _shingle_sets(texts, key, text)
-    return sets.join(sets.groupBy("set").agg(F.min(key).alias("class")), "set").select(key, "class")
+    sets = _shingle_sets(texts, key, text).select(key, "digest")
+    return sets.join(sets.groupBy("digest").agg(F.min(key).alias("class")), "digest").select(key, "class")
 
 
 def similar_texts(texts: DataFrame, key: str, text: str, similar: float = SIMILAR) -> DataFrame:
@@ -80,7 +82,7 @@ def similar_texts(texts: DataFrame, key: str, text: str, similar: float = SIMILA
     in no pair.
     """
     sets = _shingle_sets(texts, key, text)
-    classes = cut_lineage(sets.groupBy("set").agg(F.min(key).alias("id")).withColumn("size", F.size("set")))  # read five times
+    classes = cut_lineage(sets.groupBy("digest").agg(F.min_by("set", key).alias("set"), F.min(key).alias("id")).withColumn("size", F.size("set")))  # read five times
     members = classes.select("id", "size", F.explode("set").alias("shingle"))
     counted = members.groupBy("shingle").agg(F.count("*").alias("n"))
     rarest = F.row_number().over(Window.partitionBy("id").orderBy("n", "shingle"))

@@ -77,7 +77,7 @@ def sections(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def best_sections(parts: DataFrame, queries: DataFrame) -> DataFrame:
-    """`query_id, line, heading, score`: of each query's text the section that answers best.
+    """`query_id, line, heading, score, content`: of each query's text the section that answers best.
 
     parts: `key, line, heading, content`; queries: `query_id, key, tokens`. A token
     in the heading scores 3, else in the text 1; ties go to the shorter section,
@@ -86,12 +86,12 @@ def best_sections(parts: DataFrame, queries: DataFrame) -> DataFrame:
     hit = lambda where: lambda t: F.contains(F.lower(F.col(where)), F.lower(t))
     score = F.aggregate("tokens", F.lit(0), lambda total, t: total + F.when(hit("heading")(t), 3).when(hit("content")(t), 1).otherwise(0))
     scored = queries.join(parts, "key").withColumn("score", score).filter("score > 0")
-    best = F.max_by(F.struct("line", "heading", "score"), F.struct("score", -F.char_length("content"), -F.col("line")))
-    return scored.groupBy("query_id").agg(best.alias("best")).select("query_id", "best.line", "best.heading", "best.score")
+    best = F.max_by(F.struct("line", "heading", "score", "content"), F.struct("score", -F.char_length("content"), -F.col("line")))
+    return scored.groupBy("query_id").agg(best.alias("best")).select("query_id", "best.line", "best.heading", "best.score", "best.content")
 
 
 def shingles(words: Column, size: int = SHINGLE) -> Column:
-    """The distinct runs of `size` words; of fewer words the one run there is."""
+    """The distinct runs of `size` words; of fewer words the one run there is, so that short texts can be told apart too."""
     runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - size + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, size), " "))
     return F.when(F.size(words) > 0, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 

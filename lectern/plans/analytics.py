@@ -148,8 +148,8 @@ QUERIES = {
 }
 
 _CALLS = "calls as (select user_id as session, ts as moment, event_id as id, event_type as tool, props as argument, value from events)"
-_ITEMS = "items as (select item_id, unnest(max({'call_id': call_id, 'path': path, 'kind': kind, 'section_id': section_id, 'score': score, 'tokens': tokens, 'lifecycle': lifecycle})) from context_item where item_id is not null and call_id is not null group by item_id)"
-_SECTIONS = "sections as (select section_id, max(content) as content from section_slice where section_id is not null group by section_id)"
+ITEMS = "items as (select item_id, unnest(max({'call_id': call_id, 'path': path, 'kind': kind, 'section_id': section_id, 'score': score, 'tokens': tokens, 'lifecycle': lifecycle})) from context_item where item_id is not null and call_id is not null group by item_id)"
+SECTIONS = "sections as (select section_id, max(content) as content from section_slice where section_id is not null group by section_id)"
 _VERSIONS = """versions as (select note_id as key, version, max({'a': arrived_at, 'd': deleted_at, 'p': path, 't': title, 'u': updated}) as x from vault_note where note_id is not null and version is not null group by all),
     revised as (select key, version, x.a as arrived_at, x.d as deleted_at, sha256(concat_ws('|', x.p, x.t, x.u)) as revision from versions),
     current as (select distinct on (key) * from revised where arrived_at < '2025-07-01' order by key, version desc),
@@ -178,22 +178,22 @@ SQL = {
     "usual_followers": f"""with {_CALLS}, f as (select session, tool, lead(tool) over (partition by session order by moment, id) as follower from calls), c as (select session, tool, follower, count(*) as times from f where follower is not null group by all)
         select * from c qualify row_number() over (partition by session, tool order by times desc, follower) = 1""",
     "value_ranks": f"with {_CALLS} select tool, 0.5::double as share, quantile_disc(value, 0.5) as value from calls where value is not null group by tool union all select tool, 0.95::double, quantile_disc(value, 0.95) from calls where value is not null group by tool",
-    "score_card": f"with {_ITEMS} select kind, count(score) as rows, avg(score) as mean, median(score) as median, min(score) as least, max(score) as most from items group by kind",
-    "retrieval_quality": f"""with {_ITEMS}, r as (select call_id as query_id, row_number() over (partition by call_id order by score desc, item_id) as place, coalesce(kind = 'section', false) and score > 60 as relevant from items where score is not null),
+    "score_card": f"with {ITEMS} select kind, count(score) as rows, avg(score) as mean, median(score) as median, min(score) as least, max(score) as most from items group by kind",
+    "retrieval_quality": f"""with {ITEMS}, r as (select call_id as query_id, row_number() over (partition by call_id order by score desc, item_id) as place, coalesce(kind = 'section', false) and score > 60 as relevant from items where score is not null),
         b as (select query_id, sum(case when relevant and place <= 10 then 1 / log2(place + 1) else 0 end) as dcg, count(*) filter (where relevant) as n, count(*) filter (where relevant and place <= 10) as found, min(case when relevant then place end) as first from r group by query_id)
         select query_id, round(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 9) as ndcg, round(found / n, 9) as recall, round(1 / first, 9) as reciprocal from b where n > 0""",
-    "filled_bundles": f"""with recursive {_ITEMS}, o as (select call_id, item_id, tokens, row_number() over (partition by call_id order by coalesce((kind = 'neighbor-note')::int, 0), score / tokens desc nulls last, score desc nulls last, path nulls first, item_id) as place from items where tokens between 1 and 4000),
+    "filled_bundles": f"""with recursive {ITEMS}, o as (select call_id, item_id, tokens, row_number() over (partition by call_id order by coalesce((kind = 'neighbor-note')::int, 0), score / tokens desc nulls last, score desc nulls last, path nulls first, item_id) as place from items where tokens between 1 and 4000),
         f as (select call_id, 0::bigint as place, 0::bigint as item_id, 0 as tokens, 0::bigint as used, false as kept from (select distinct call_id from o)
           union all select o.call_id, o.place, o.item_id, o.tokens, case when f.used + o.tokens <= 4000 then f.used + o.tokens else f.used end, f.used + o.tokens <= 4000 from f join o on o.call_id = f.call_id and o.place = f.place + 1)
         select call_id, item_id, tokens, used from f where kept""",
-    "bundle_quality": f"""with {_ITEMS}, b as (select call_id, count(*) as items, sum(greatest(coalesce(tokens, 0), 0))::bigint as tokens, sum(case when kind = 'body' then greatest(coalesce(tokens, 0), 0) else 0 end)::bigint as body_tokens from items group by call_id)
+    "bundle_quality": f"""with {ITEMS}, b as (select call_id, count(*) as items, sum(greatest(coalesce(tokens, 0), 0))::bigint as tokens, sum(case when kind = 'body' then greatest(coalesce(tokens, 0), 0) else 0 end)::bigint as body_tokens from items group by call_id)
         select *, tokens / 4000 as fill, case when tokens > 0 then body_tokens / tokens else 0 end as depth from b""",
-    "similar_sections": f"""with {_SECTIONS}, w as (select section_id, regexp_extract_all(lower(content), '[a-z0-9]+') as w from sections where content is not null),
+    "similar_sections": f"""with {SECTIONS}, w as (select section_id, regexp_extract_all(lower(content), '[a-z0-9]+') as w from sections where content is not null),
         s as (select section_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) as s from w where len(w) > 0),
         c as (select min(section_id) as id, s, len(s) as n from s group by s), m as (select id, n, unnest(s) as g from c),
         j as (select a.id as one, b.id as other, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as similarity from m a join m b on a.g = b.g and a.id < b.id group by a.id, b.id)
         select one, other, round(similarity, 9) as similarity from j where similarity >= 0.8""",
-    "section_classes": f"""with {_SECTIONS}, w as (select section_id, regexp_extract_all(lower(content), '[a-z0-9]+') as w from sections where content is not null),
+    "section_classes": f"""with {SECTIONS}, w as (select section_id, regexp_extract_all(lower(content), '[a-z0-9]+') as w from sections where content is not null),
         s as (select section_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) as s from w where len(w) > 0)
         select section_id, min(section_id) over (partition by s) as class from s""",
     "note_findings": _FOUND + " select * from found",
@@ -203,7 +203,7 @@ SQL = {
     "change_outcomes": f"with {_VERSIONS} select key, action, status from judged",
     "merged_versions": f"with {_VERSIONS} select key, revision from current where key not in (select key from judged where status = 'applied') union all select key, revision from judged where status = 'applied' and action <> 'delete'",
     "version_history": f"with {_VERSIONS}, p as (select key, version, row_number() over (partition by key order by arrived_at desc nulls last, version desc) as place from revised) select * from p where place <= 2",
-    "rewritten_links": f"""with {resolution_sql("select id, text, unnest(regexp_extract_all(text, $$" + LINK + "$$, 2)) as target from texts").replace("notes as (", f"{_SECTIONS}, texts as (select 'd' || doc_id as id, text from documents union all select 's' || section_id, content from sections union all select distinct 'l' || ref_id, case when embed then '!' else '' end || '[[' || target || '|said]] here' from extracted_wikilink), notes as (", 1)},
+    "rewritten_links": f"""with {resolution_sql("select id, text, unnest(regexp_extract_all(text, $$" + LINK + "$$, 2)) as target from texts").replace("notes as (", f"{SECTIONS}, texts as (select 'd' || doc_id as id, text from documents union all select 's' || section_id, content from sections union all select distinct 'l' || ref_id, case when embed then '!' else '' end || '[[' || target || '|said]] here' from extracted_wikilink), notes as (", 1)},
         aimed as (select target, path, {sql_key("split_part(target, '#', 1)")} as k, regexp_replace(replace('moved/' || path, chr(92), '/'), '(?i)\\.md$', '') as bare from resolved where path is not null),
         renamed as (select target, case when contains(k, '/') then bare else split_part(bare, '/', -1) end || rtrim(substr(target, length(split_part(target, '#', 1)) + 1)) as target2 from aimed where split_part(k, '/', -1) = split_part({sql_key("path")}, '/', -1)),
         m as (select id, map_from_entries(list(distinct {{'k': target, 'v': target2}})) as m from once join renamed using (target) group by id),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import SQL_SPACES, sql_reference_key
 from lectern.operators import bundles, catalog, listings, texts
-from lectern.plans.analytics import _ITEMS
+from lectern.plans.analytics import ITEMS
 from lectern.plans.catalog import KEYS, LINKS, NOTES
 from lectern.sources.tables import read_table
 
@@ -86,7 +86,7 @@ _ENTRIES = f"""lines as (select doc_id, unnest(string_split(text, chr(10))) as c
 _BY_SCORE = "row_number() over (partition by call_id order by score desc, item_id)"
 _MARK = "case lang " + " ".join(f"when '{k}' then '{v}'" for k, v in texts.COMMENTS.items()) + " end"
 SQL = {
-    "neighbours_of_items": f"""with {LINKS}, {_ITEMS}, paths as (select call_id, path, max(score) as score from items where path is not null and score is not null group by all),
+    "neighbours_of_items": f"""with {LINKS}, {ITEMS}, paths as (select call_id, path, max(score) as score from items where path is not null and score is not null group by all),
         chosen as (select call_id, path as seed, row_number() over (partition by call_id order by score desc, path) as rank from paths qualify rank <= 3),
         near as (select call_id, rank, seed, 0 as way, p.path from chosen join pairs p on p.source = seed union all select call_id, rank, seed, 1, p.source from chosen join pairs p on p.path = seed),
         first as (select distinct on (call_id, path) * from near n where not exists (select 1 from paths h where h.call_id = n.call_id and h.path = n.path) order by call_id, path, rank, way, seed)
@@ -106,10 +106,10 @@ SQL = {
         count(*) filter (where not regexp_matches(t, '(?m)^#{{1,6}}[ \\t]')) as flat, count(*) filter (where not contains(t, '[[')) as unlinked from d group by source""",
     "snippets": " union all ".join(f"""select doc_id, '{t}' as token, len(hits)::int as lines, hits[1]::int as first, hits[2]::int as second from (select doc_id,
         list_filter(list_transform(string_split(lower(text), chr(10)), lambda l, i: case when contains(l, '{t}') then i end), lambda i: i is not null) as hits from documents) where len(hits) > 0""" for t in TOKENS),
-    "golden_ranks": f"""with {_ITEMS}, r as (select call_id, item_id, tokens, {_BY_SCORE} as place from items where score is not null),
+    "golden_ranks": f"""with {ITEMS}, r as (select call_id, item_id, tokens, {_BY_SCORE} as place from items where score is not null),
         g as (select call_id, max_by(place, {{'t': tokens, 'i': item_id}}) as place from r where tokens > 0 group by call_id)
         select count(*) as queries, round(avg(case when place = 1 then 100.0 else 0 end), 1) as first, round(avg(case when place <= 3 then 100.0 else 0 end), 1) as within_three, count(*) filter (where place is null) as missing from g""",
-    "repeated_items": f"""with {_ITEMS}, c as (select section_id, max(content) as content from section_slice where section_id is not null group by section_id),
+    "repeated_items": f"""with {ITEMS}, c as (select section_id, max(content) as content from section_slice where section_id is not null group by section_id),
         s as (select section_id, sha256(regexp_replace(lower(trim(content, {SQL_SPACES})), '\\s+', ' ', 'g')) as said from c where content <> ''),
         r as (select call_id, item_id, first_value(item_id) over (partition by call_id, said order by score desc, item_id) as kept_item from items join s using (section_id) where score is not null)
         select * from r where item_id <> kept_item""",

@@ -11,7 +11,7 @@ from lectern.plans.catalog import NOTES
 from lectern.sources.tables import read_table
 
 
-def _notes(spark: SparkSession, directory: str) -> DataFrame:
+def notes_with_bodies(spark: SparkSession, directory: str) -> DataFrame:
     """Current notes; the body is all sections of the note in order of their lines."""
     notes = catalog.current_catalog(read_table(spark, directory, "vault_note"))
     once = read_table(spark, directory, "section_slice").filter("content is not null").select("note_path", "start_line", "section_id", "content").distinct()
@@ -20,7 +20,7 @@ def _notes(spark: SparkSession, directory: str) -> DataFrame:
     return notes.join(bodies, "path", "left")
 
 
-def _queries(spark: SparkSession, directory: str) -> DataFrame:
+def every_hundredth_title(spark: SparkSession, directory: str) -> DataFrame:
     """The titles of every hundredth note, as they are."""
     return catalog.current_catalog(read_table(spark, directory, "vault_note")).filter("note_id % 100 = 0").select(F.col("note_id").alias("query_id"), F.col("title").alias("query"))
 
@@ -32,7 +32,7 @@ def query_tokens(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def search_literal(spark: SparkSession, directory: str) -> DataFrame:
-    return search.search_hits(search.search_features(_notes(spark, directory)), _queries(spark, directory), stemmed=False)
+    return search.search_hits(search.search_features(notes_with_bodies(spark, directory)), every_hundredth_title(spark, directory), stemmed=False)
 
 
 def search_phrases(spark: SparkSession, directory: str) -> DataFrame:
@@ -54,10 +54,10 @@ def _contents_as_notes(spark: SparkSession, directory: str) -> DataFrame:
 
 def search_ranked(spark: SparkSession, directory: str) -> DataFrame:
     """The best 20 notes for each title, which is corrected and widened where that helps."""
-    notes = _notes(spark, directory)
+    notes = notes_with_bodies(spark, directory)
     features = search.search_features(notes)
     words = catalog.spelling_vocabulary(notes)
-    hits, asked, expanded = search.search(features, _queries(spark, directory), words, _vocabulary(notes))
+    hits, asked, expanded = search.search(features, every_hundredth_title(spark, directory), words, _vocabulary(notes))
     ranked = search.rank(features, hits, asked, F.lit("2026-01-01").cast("timestamp"), expanded)
     return ranked.filter("place <= 20").withColumn("signals", F.to_json("signals"))
 

@@ -101,7 +101,7 @@ def test_links_to_every_note_are_rewritten(spark, tmp_path):
 
 
 def test_ranked_search_reads_all_sections(spark):
-    notes = search_plans._notes(spark, SMALL)
+    notes = search_plans.notes_with_bodies(spark, SMALL)
     bodies = {r.path: (r.note_id, r.body or "") for r in notes.collect()}
     sections = {(r.note_path, r.content) for r in spark.read.parquet(f"{SMALL}/section_slice.parquet").collect() if r.content and r.note_path in bodies}
     assert all(content in bodies[path][1] for path, content in sections)
