@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import trimmed
+from lectern.operators.texts import BLOCK
 
 #: Keys that are never taken over from a change.
 FORBIDDEN = ["__proto__", "constructor", "prototype"]
 LINK = r"!?\[\[[^\]|\[\r\n]+(?:\|[^\]\[\r\n]+)?\]\]"
-CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]"
+CONTROL = r"[\x00-\x1F\x7F]"
 MARKER = r"\^\[(inferred|ambiguous)\]"
 
 
@@ -26,10 +27,11 @@ def merged_fields(fields: Column, changes: Column) -> Column:
     return F.map_concat(kept, F.map_filter(allowed, lambda _, v: v.isNotNull()))
 
 
-def stamped(fields: Column, now: Column) -> Column:
-    """The fields with `created`, where it is missing or blank, and `updated` set to `now`."""
+def stamped(fields: Column, now: Column, given: Column | None = None) -> Column:
+    """The fields with `created`, where it is missing or blank, and `updated` set to `now`; an `updated` among the `given` changes stays."""
     created = F.coalesce(F.nullif(F.trim(F.try_element_at(fields, F.lit("created"))), F.lit("")), now)
-    return merged_fields(fields, F.create_map(F.lit("created"), created, F.lit("updated"), now))
+    updated = now if given is None else F.when(F.map_contains_key(given, "updated"), F.try_element_at(fields, F.lit("updated"))).otherwise(now)
+    return merged_fields(fields, F.create_map(F.lit("created"), created, F.lit("updated"), updated))
 
 
 def flat(fields: Column) -> Column:
@@ -54,10 +56,28 @@ def source_ledger(notes: DataFrame) -> DataFrame:
 
 
 def link_places(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """`key, line, column, link` of the first link of each line, counted from 1."""
+    """`key, line, column, link` of every link, counted from 1."""
     lines = texts.select(key, F.posexplode(F.split(F.col(text), "\n")).alias("at", "content")).filter(F.contains("content", F.lit("[[")))
-    found = lines.select(key, (F.col("at") + 1).alias("line"), F.regexp_extract("content", LINK, 0).alias("link"), "content").filter("link <> ''")
-    return found.select(key, "line", F.instr("content", F.col("link")).alias("column"), "link")
+    found = lines.select(key, (F.col("at") + 1).alias("line"), F.regexp_extract_all("content", F.lit(LINK), F.lit(0)).alias("links"), F.split("content", LINK).alias("parts")).filter("size(links) > 0")
+    before = lambda i: F.aggregate(F.concat(F.slice("parts", 1, i + 1), F.slice("links", 1, i)), F.lit(1), lambda n, x: n + F.char_length(x))
+    return found.select(key, "line", F.inline(F.transform("links", lambda x, i: F.struct(before(i).alias("column"), x.alias("link"))))).select(key, "line", "column", "link")
+
+
+def list_field(text: Column, name: str) -> Column:
+    """A list of the front matter, in brackets or one item a line; blank items are left out, no list gives an empty one."""
+    block = F.regexp_extract(text, BLOCK, 1)
+    inline = F.split(F.regexp_extract(block, rf"(?md)^{name}:[ \t]*\[(.*)\][ \t\r]*$", 1), ",")
+    lines = F.regexp_extract_all(F.regexp_extract(block, rf"(?md)^{name}:[ \t\r]*\n((?:[ \t]*-[ \t].*(?:\n|$))+)", 1), F.lit(r"(?md)^[ \t]*-[ \t]+(.*)$"), F.lit(1))
+    bare = lambda x: F.regexp_replace(trimmed(x), "^([\"'])(.*)\\1$", "$2")
+    return F.filter(F.transform(F.coalesce(F.concat(inline, lines), F.array()), bare), lambda x: x != "")
+
+
+def front_matter_text(fields: Column) -> Column:
+    """Fields as a front matter block, in order of keys; texts that could be read as something else stand in quotes, null as nothing."""
+    plain = lambda v: F.regexp_like(v, F.lit(r"^[\p{L}_][\p{L}\p{N} _./-]*$")) & ~F.regexp_like(v, F.lit(r"(?i)^(true|false|yes|no|null|on|off)$|[ ]$"))
+    quoted = lambda v: F.concat(F.lit('"'), F.replace(F.replace(F.replace(v, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n")), F.lit('"'))
+    line = lambda e: F.concat(e["key"], F.lit(":"), F.when(e["value"].isNull(), "").otherwise(F.concat(F.lit(" "), F.when(plain(e["value"]), e["value"]).otherwise(quoted(e["value"])))), F.lit("\n"))
+    return F.concat(F.lit("---\n"), F.array_join(F.transform(F.array_sort(F.map_entries(fields)), line), ""), F.lit("---\n"))
 
 
 def provenance(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -67,8 +87,8 @@ def provenance(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def scrubbed(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """`key, removed, content` of texts with control characters, without them."""
-    rows = texts.select(key, F.regexp_count(text, F.lit(CONTROL)).alias("removed"), F.regexp_replace(text, CONTROL, "").alias("content"))
+    """`key, removed, content` of texts with control characters; a tab becomes a space, any other U+FFFD, so nothing can forge a line."""
+    rows = texts.select(key, F.regexp_count(text, F.lit(CONTROL)).alias("removed"), F.regexp_replace(F.translate(F.col(text), "\t", " "), CONTROL, "\ufffd").alias("content"))
     return rows.filter("removed > 0")
 
 

@@ -1,12 +1,11 @@
 """Parts of note texts: front matter, links, tags, outlines, sections, shingles.
 
-All work is on expressions inside the scan's stage; only sections need a window,
-over one row per heading.
+All work is on expressions inside the scan's stage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import estimated_tokens, trimmed
@@ -60,20 +59,40 @@ def outline(texts: DataFrame, key: str, text: str, depth: int = 6) -> DataFrame:
     return lines.select(key, (F.col("at") + 1).alias("line"), level.alias("level"), F.regexp_extract("content", HEADING, 2).alias("heading")).filter(F.col("level").between(1, depth))
 
 
+def _heads(lines: Column) -> Column:
+    """`line, level, heading` of each heading among an array of lines."""
+    found = F.filter(F.transform(lines, lambda x, i: F.when(F.startswith(x, F.lit("#")), F.struct((i + 1).alias("line"), x.alias("x")))), lambda h: h.isNotNull())
+    heads = F.transform(found, lambda h: F.struct(h["line"].alias("line"), F.char_length(F.regexp_extract(h["x"], HEADING, 1)).alias("level"), F.regexp_extract(h["x"], HEADING, 2).alias("heading")))
+    return F.filter(heads, lambda h: h["level"] > 0)
+
+
+def _end_of(head: Column, heads: Column, lines: Column) -> Column:
+    """The last line of a heading's section: before the next heading no deeper than it."""
+    later = F.transform(F.filter(heads, lambda h: (h["line"] > head["line"]) & (h["level"] <= head["level"])), lambda h: h["line"])
+    return F.coalesce(F.array_min(later) - 1, F.size(lines))
+
+
 def sections(texts: DataFrame, key: str, text: str) -> DataFrame:
     """`key, line, level, heading, end_line, content`: each heading down to the next one of its level or above.
 
-    The end is the least later line with a level no deeper, six running minima in
-    one window over a text's headings.
+    All within the text's row: nothing is shuffled, and only what stands in a section is written.
     """
-    later = Window.partitionBy(key).orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    heads = outline(texts, key, text)
-    ends = [F.min(F.when(F.col("level") <= n, F.col("line"))).over(later) for n in range(1, 7)]
-    bounded = heads.withColumn("next", F.coalesce(*(F.when(F.col("level") == n, end) for n, end in enumerate(ends, 1))))
-    lines = texts.select(key, F.split(F.col(text), "\n").alias("lines"))
-    end = F.coalesce(F.col("next") - 1, F.size("lines"))
-    content = trimmed(F.array_join(F.slice("lines", F.col("line"), end - F.col("line") + 1), "\n"))
-    return bounded.join(lines, key).select(key, "line", "level", "heading", end.alias("end_line"), content.alias("content"))
+    rows = texts.select(key, F.split(F.col(text), "\n").alias("lines")).withColumn("heads", _heads(F.col("lines"))).filter("size(heads) > 0")
+    one = lambda h: F.struct(h["line"].alias("line"), h["level"].alias("level"), h["heading"].alias("heading"), _end_of(h, F.col("heads"), F.col("lines")).alias("end_line"))
+    ended = rows.select(key, "lines", F.transform("heads", one).alias("ended"))
+    content = lambda h: trimmed(F.array_join(F.slice("lines", h["line"], h["end_line"] - h["line"] + 1), "\n"))
+    return ended.select(key, F.inline(F.transform("ended", lambda h: F.struct(h["line"].alias("line"), h["level"].alias("level"), h["heading"].alias("heading"), h["end_line"].alias("end_line"), content(h).alias("content")))))
+
+
+def section_named(texts: DataFrame, asked: DataFrame, key: str, text: str) -> DataFrame:
+    """`key, asked, line, level, heading, content` of the first section under each heading asked for (`key, asked`).
+
+    Case, space around and `#` marks of the asked heading make no difference.
+    """
+    wanted = asked.select(key, "asked", F.lower(trimmed(F.regexp_replace("asked", r"^#{1,6}\s*", ""))).alias("name"))
+    found = sections(texts.join(wanted.select(key).distinct(), key, "left_semi"), key, text).withColumn("name", F.lower(trimmed(F.col("heading"))))
+    first = found.groupBy(key, "name").agg(F.min(F.struct("line", "level", "heading", "content")).alias("x"))
+    return wanted.join(first, [key, "name"]).select(key, "asked", "x.*")
 
 
 def best_sections(parts: DataFrame, queries: DataFrame) -> DataFrame:
@@ -121,23 +140,47 @@ def bounded_read(texts: DataFrame, key: str, text: str, most: int) -> tuple[Data
     return texts.filter(F.coalesce(size, F.lit(0)) <= most), texts.filter(size > most).select(key, size.alias("bytes"))
 
 
-def patched(texts: DataFrame, edits: DataFrame, key: str, text: str) -> DataFrame:
-    """`key, status, digest`: each edit's outcome, and the digest of the text after it.
+def edited(texts: DataFrame, edits: DataFrame, key: str, text: str) -> DataFrame:
+    """`key, status, content`: each edit's outcome, and the text after it.
 
-    edits: `key, expected, old, new`. An edit holds where the text's digest is the
-    one expected, `old` occurs exactly once, and the text neither loses half nor
-    more than doubles (from 1,024 characters on); else the text stays.
+    edits: `key, mode, expected, target, new, force`. An edit holds where the text's
+    digest is the one expected (null expects any). Modes: `replace` the whole text,
+    `append`, `prepend` (on a line of their own), `patch` the one place where
+    `target` stands, `replace_section` what stands under the one heading `target`
+    (with `#` marks only one of that level) down to the next no deeper. Unless
+    forced, a text neither loses half nor more than doubles (from 1,024 characters
+    on). Else the text stays: `not_found`, `hash_mismatch`, `no_match`, `ambiguous`,
+    `shrinks`, `grows`, `invalid` (unknown mode, or no new text).
     """
-    both = edits.join(texts.select(key, F.col(text).alias("content")), key, "left")
-    content, after = F.col("content"), F.replace("content", "old", "new")
-    times = (F.char_length(content) - F.char_length(F.replace("content", "old", F.lit("")))) / F.char_length("old")
-    size, new_size = F.char_length(content), F.char_length(after)
+    both = edits.join(texts.select(key, F.col(text).alias("content")), key, "left").withColumn("lines", F.split("content", "\n")).withColumn("heads", _heads(F.col("lines")))
+    content, new, target, mode = (F.col(c) for c in ("content", "new", "target", "mode"))
+    level = F.char_length(F.regexp_extract(target, r"^(#{1,6})[ \t]+\S", 1))
+    name = F.lower(trimmed(F.regexp_replace(target, r"^#{1,6}[ \t]*", "")))
+    fits = F.filter("heads", lambda h: (F.lower(trimmed(h["heading"])) == name) & ((level == 0) | (h["level"] == level)))
+    both = both.withColumn("fits", fits).withColumn("head", F.get("fits", F.lit(0)))
+    end = _end_of(F.col("head"), F.col("heads"), F.col("lines"))
+    inside = F.regexp_replace(new, r"^\n+|\n+$", "")
+    put = F.when(inside != "", F.array(F.lit(""), inside, F.lit(""))).otherwise(F.array(F.lit("")))
+    section = F.array_join(F.concat(F.slice("lines", 1, F.col("head.line")), put, F.slice("lines", end + 1, F.greatest(F.size("lines") - end, F.lit(0)))), "\n")
+    times = F.when(mode == "patch", F.when(target != "", (F.char_length(content) - F.char_length(F.replace(content, target, F.lit("")))) / F.char_length(target)).otherwise(0)).when(mode == "replace_section", F.size("fits")).otherwise(1)
+    both = both.withColumn("times", times)
+    after = (
+        F.when(mode == "replace", new).when(mode == "append", F.concat(content, F.lit("\n"), new)).when(mode == "prepend", F.concat(new, F.lit("\n"), content))
+        .when(mode == "patch", F.replace(content, target, new)).when(mode == "replace_section", F.regexp_replace(section, r"\n{3,}", "\n\n"))
+    )
+    both = both.withColumn("after", F.when(F.col("times") == 1, after))
+    size, new_size, free = F.char_length(content), F.char_length("after"), ~F.coalesce("force", F.lit(False))
     status = (
-        F.when(content.isNull(), "not_found").when(F.sha2(content, 256) != F.col("expected"), "hash_mismatch")
-        .when(times < 1, "no_match").when(times > 1, "ambiguous").when(2 * new_size < size, "shrinks")
-        .when((size >= 1024) & (new_size > 2 * size), "grows").otherwise("applied")
+        F.when(content.isNull(), "not_found").when(F.sha2(content, 256) != F.col("expected"), "hash_mismatch").when(F.col("times") < 1, "no_match").when(F.col("times") > 1, "ambiguous")
+        .when(F.col("after").isNull(), "invalid").when(free & (2 * new_size < size), "shrinks").when(free & (size >= 1024) & (new_size > 2 * size), "grows").otherwise("applied")
     )
-    return both.select(key, status.alias("status"), F.sha2(F.when(status == "applied", after).otherwise(content), 256).alias("digest"))
+    return both.select(key, status.alias("status"), F.when(status == "applied", F.col("after")).otherwise(content).alias("content"))
+
+
+def patched(texts: DataFrame, edits: DataFrame, key: str, text: str) -> DataFrame:
+    """`key, status, digest` of edits `key, expected, old, new` of mode patch, see `edited`."""
+    asked = edits.select(key, F.lit("patch").alias("mode"), "expected", F.col("old").alias("target"), "new", F.lit(False).alias("force"))
+    return edited(texts, asked, key, text).select(key, "status", F.sha2("content", 256).alias("digest"))
 
 
 #: A fenced block that is closed, its language and its inside.

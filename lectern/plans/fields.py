@@ -56,9 +56,11 @@ SQL = {
     "source_ledger": """with s as (select note_id, arrived_at, unnest(sources) as source from vault_note),
         k as (select lower(regexp_replace(regexp_replace(replace(trim(source), chr(92), '/'), '/+', '/', 'g'), '(.)/$', '\\1')) as source, note_id, arrived_at from s where source is not null)
         select source, count(distinct note_id) as notes, min(arrived_at) as first_at from k where source <> '' group by source""",
-    "link_places": f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as line from documents where text is not null)
-        select doc_id, line::int as line, instr(content, regexp_extract(content, '{fields.LINK}'))::int as column, regexp_extract(content, '{fields.LINK}') as link from l where regexp_matches(content, '{fields.LINK}')""",
-    "scrubbed_documents": f"select doc_id, len(regexp_extract_all(text, '{fields.CONTROL}'))::int as removed, sha256(regexp_replace(text, '{fields.CONTROL}', '', 'g')) as digest from documents where regexp_matches(text, '{fields.CONTROL}')",
+    "link_places": f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as line from documents where text is not null),
+        p as (select doc_id, line, regexp_split_to_array(content, '{fields.LINK}') as parts, regexp_extract_all(content, '{fields.LINK}') as links from l where regexp_matches(content, '{fields.LINK}')),
+        e as (select *, unnest(range(1, len(links) + 1)) as i from p)
+        select doc_id, line::int as line, (1 + length(array_to_string(list_concat(parts[:i], links[:i - 1]), '')))::int as column, links[i] as link from e""",
+    "scrubbed_documents": f"select doc_id, len(regexp_extract_all(text, '{fields.CONTROL}'))::int as removed, sha256(regexp_replace(replace(text, chr(9), ' '), '{fields.CONTROL}', chr(65533), 'g')) as digest from documents where regexp_matches(text, '{fields.CONTROL}')",
     "shrunk_summaries": """with v as (select note_id, version, max(summary) as summary from vault_note where note_id is not null group by all),
         b as (select *, lag(length(summary)) over (partition by note_id order by version) as prior from v)
         select note_id, version, coalesce(length(summary), 0) / prior as ratio, coalesce(length(summary), 0) / prior < 0.5 as blocked from b where prior > 0""",

@@ -9,7 +9,7 @@ import pytest
 from tests.conftest import SMALL
 from tests.oracle import check
 
-CORE = ["lectern.plans.orphans", "lectern.plans.catalog", "lectern.plans.texts", "lectern.plans.search", "lectern.plans.analytics", "lectern.plans.listings", "lectern.plans.fields", "lectern.plans.assembly"]
+CORE = ["lectern.plans.orphans", "lectern.plans.catalog", "lectern.plans.texts", "lectern.plans.search", "lectern.plans.analytics", "lectern.plans.listings", "lectern.plans.fields", "lectern.plans.assembly", "lectern.plans.upkeep"]
 ALL = {name: (query, module.SQL.get(name)) for module in map(importlib.import_module, CORE) for name, query in module.QUERIES.items()}
 
 
