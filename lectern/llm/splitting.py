@@ -206,23 +206,24 @@ def split_sizes(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
 
 
 def split_vault(sections: DataFrame, items: DataFrame) -> DataFrame:
-    """`table_name, item_id, piece, begins, ends, cut_at, content, tokens` of sections and context items over LIMIT.
+    """`table_name, item_id, piece, begins, ends, cut_at, content, tokens, section_id` of sections and context items over LIMIT.
 
     An item is over it by its tokens or, where these are null or below 1, by its
-    section's content. Its pieces are its section's where that is cut too, else
-    spans of its tokens without content.
+    section's content. Its pieces are its section's where that is cut too: they bear
+    the section's id and piece numbers, and the content stands once, with the
+    section. Else they are spans of its tokens, of which no content is known.
     """
     of_sections = split_texts(sections.select(F.col("section_id").alias("key"), "content"))
     known = items.filter("item_id is not null").groupBy("item_id").agg(F.max(F.struct("tokens", "section_id")).alias("x"))
     known = known.select("item_id", F.col("x.tokens").alias("size"), F.col("x.section_id").alias("key"))
-    of_items = known.filter(f"key is not null and (size > {LIMIT} or size < 1 or size is null)").join(of_sections, "key")
+    of_items = known.filter(f"key is not null and (size > {LIMIT} or size < 1 or size is null)").join(of_sections.drop("content"), "key")
     cut_sections = of_sections.filter("piece = 0").select("key")
     spans = split_sizes(known.filter(f"size > {LIMIT}").join(cut_sections, "key", "left_anti").select(F.col("item_id").alias("key"), "size"))
-    columns = ["item_id", "piece", "begins", "ends", "cut_at", "content", "tokens"]
-    none = F.lit(None).cast("string")
+    columns = ["piece", "begins", "ends", "cut_at", "content", "tokens"]
+    none, no_id = F.lit(None).cast("string"), F.lit(None).cast(dict(items.dtypes)["section_id"])
     parts = [
-        of_sections.select(F.lit("section_slice").alias("table_name"), F.col("key").alias("item_id"), *columns[1:]),
-        of_items.select(F.lit("context_item").alias("table_name"), *columns),
-        spans.withColumn("cut_at", none).withColumn("content", none).select(F.lit("context_item").alias("table_name"), F.col("key").alias("item_id"), *columns[1:]),
+        of_sections.select(F.lit("section_slice").alias("table_name"), F.col("key").alias("item_id"), *columns, F.col("key").alias("section_id")),
+        of_items.withColumn("content", none).select(F.lit("context_item").alias("table_name"), "item_id", *columns, F.col("key").alias("section_id")),
+        spans.withColumn("cut_at", none).withColumn("content", none).select(F.lit("context_item").alias("table_name"), F.col("key").alias("item_id"), *columns, no_id.alias("section_id")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
