@@ -150,6 +150,14 @@ def page_after(frame: DataFrame, order: str, marker: str | None, size: int) -> D
     return rest.orderBy(order).limit(size)
 
 
+def page_summary(frame: DataFrame, order: str, marker: str | None, size: int) -> DataFrame:
+    """One row about a page: `total` rows, how many are `left` from it on, whether it is `truncated`, and the marker of the `next` page (null: none)."""
+    after = F.lit(True) if marker is None else F.col(order) > marker
+    last = page_after(frame, order, marker, size).agg(F.max(order).alias("last"))
+    counts = frame.agg(F.count(order).alias("total"), F.count_if(after & F.col(order).isNotNull()).alias("left"))
+    return counts.join(last).select("total", "left", (F.col("left") > size).alias("truncated"), F.when(F.col("left") > size, F.col("last")).alias("next"))
+
+
 def category_listing(catalog: DataFrame) -> DataFrame:
     """`category, lines, notes`: a digest of each category's catalog lines and their number.
 

@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import trimmed
-from lectern.operators.texts import BLOCK
+from lectern.operators.texts import BLOCK, LINK
 
-#: Keys that are never taken over from a change.
+# Keys that are never taken over from a change, and patterns of the note format.
 FORBIDDEN = ["__proto__", "constructor", "prototype"]
-LINK = r"!?\[\[[^\]|\[\r\n]+(?:\|[^\]\[\r\n]+)?\]\]"
 CONTROL = r"[\x00-\x1F\x7F]"
 MARKER = r"\^\[(inferred|ambiguous)\]"
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import reference_key, trimmed
 from lectern.operators.texts import BLOCK, body_of
 
-#: A catalog line: a listed link and what is said of it after a hyphen or dash.
+# Fixed value, a catalog line: a listed link and what is said of it after a hyphen or dash.
 LISTED = r"^[ \t]*[-*] \[\[([^\]|\r\n]+)(?:\|[^\]\r\n]*)?\]\][ \t]*(?:[-—–:][ \t]*(.*))?$"
 
 

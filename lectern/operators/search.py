@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.stems import stems
-from lectern.functions.text import SPACE_CLASS, key_of
+from lectern.functions.text import SPACE_CLASS, key_of, trimmed
 from lectern.operators.catalog import clean_tags
 from lectern.operators.health import operational
 from lectern.operators.texts import body_of, words_of
@@ -168,6 +168,18 @@ def search_hits(features: DataFrame, queries: DataFrame, stemmed: bool = True, i
     return matched.join(counts, "query_id").filter(F.when(loosened, enough).otherwise(all_)).select("query_id", "note_id", "matched", F.when(loosened, "or").otherwise("and").alias("mode"))
 
 
+def literal_hits(features: DataFrame, queries: DataFrame) -> DataFrame:
+    """`query_id, note_id, lines`: notes with lines that hold a whole query (`query_id, query`) as it stands, in any case.
+
+    A line that holds the query holds its words, so only notes with all of them are read.
+    """
+    whole = queries.select("query_id", F.lower(trimmed(F.col("query"))).alias("whole")).filter("whole <> ''")
+    words = F.array_distinct(F.filter(F.split("whole", SPACE_CLASS + "+"), lambda w: w != ""))
+    candidates = search_hits(features, whole.select("query_id", words.alias("tokens")), stemmed=False).filter("mode = 'and'").select("query_id", "note_id")
+    rows = candidates.join(whole, "query_id").join(features.select("note_id", "body"), "note_id")
+    return rows.select("query_id", "note_id", F.size(F.filter(F.split("body", "\n"), lambda line: F.contains(line, F.col("whole")))).alias("lines")).filter("lines > 0")
+
+
 def search(features: DataFrame, queries: DataFrame, words: DataFrame, vocabulary: DataFrame | None = None, include_operational: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Hits `query_id, note_id, matched, mode`, the queries as asked in the end `query_id, query`, and `query_id, expanded`.
 

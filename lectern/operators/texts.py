@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import estimated_tokens, trimmed
 
+# The note format's own patterns, which results depend on.
 #: A front matter block, with its inside and what follows as groups.
 BLOCK = r"(?s)^---\r?\n(.*?)\r?\n---(?:\r?\n(.*))?\z"
-#: A link or embed on one line: bang, target, and a label that is left out.
-LINK = r"(!?)\[\[([^\]|\[\r\n]+)(?:\|[^\]\[\r\n]+)?\]\]"
+#: A link or embed on one line: bang, target with fragment, label.
+LINK = r"(!?)\[\[([^\]|\[\r\n]+)((?:\|[^\]\[\r\n]+)?)\]\]"
 TAG = r"#([0-9A-Za-z_/\-]+)"
 HEADING = r"^(#{1,6})[ \t]+(.*[^ \t\r])[ \t\r]*$"
 #: Words of a shingle.

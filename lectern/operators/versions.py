@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import key_of, without_anchor
 from lectern.operators.catalog import resolve_targets
+from lectern.operators.texts import LINK
 
 
 def revision(*fields: str) -> Column:
@@ -38,10 +39,6 @@ def history(operations: DataFrame, per: str, at: str, limit: int) -> DataFrame:
     return operations.withColumn("place", place).filter(F.col("place") <= limit)
 
 
-#: A link or embed on one line: bang, target and fragment, label.
-LINK = r"(!?)\[\[([^\]|\[\r\n]+)((?:\|[^\]\[\r\n]+)?)\]\]"
-
-
 def rewritten(texts: DataFrame, key: str, text: str, moves: DataFrame, keys: DataFrame) -> DataFrame:
     """`key, content, rewritten`: texts with links to moved notes, which name the new path; and how many links that are.
 

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.operators import bundles, catalog, health, measures, rules, sessions, versions
 from lectern.functions.text import sql_key
-from lectern.operators.versions import LINK
+from lectern.operators.texts import LINK
 from lectern.plans.catalog import NOTES, resolution_sql
-from lectern.sources.tables import read_table
+from lectern.sources.tables import read_table, shared_folder
 from lectern.streaming import links as stream
 
 
@@ -117,8 +115,7 @@ def rewritten_links(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def streamed_links(spark: SparkSession, directory: str) -> DataFrame:
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-stream-")).rstrip("/")
-    return stream.drained(stream.daily_counts(stream.link_stream(spark, directory, "extracted_wikilink.parquet")), folder)
+    return stream.drained(stream.daily_counts(stream.link_stream(spark, directory, "extracted_wikilink.parquet")), shared_folder(spark))
 
 
 QUERIES = {

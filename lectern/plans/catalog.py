@@ -50,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "notes_with_all_tags": _on_catalog(lambda n: c.with_all_tags(n, ["reference", "area/naming"]).select("path", F.size("tags").alias("tags"))),
     "folders": _on_catalog(c.folders),
     "page_after": _on_catalog(lambda n: c.page_after(n.select("path", "title"), "path", "entities/", 200)),
+    "page_summary": _on_catalog(lambda n: c.page_summary(n.select("path", "title"), "path", "entities/", 20)),
     "category_listing": _on_catalog(c.category_listing),
     "recent_by_category": _on_catalog(lambda n: c.ranked_recent(n, "category", 10)),
 }
@@ -125,6 +126,8 @@ SQL = {
         rows as (select array_to_string(p, '/') as own, unnest(list_transform(range(0, 1 + len(p)), lambda i: array_to_string(p[1:i], '/'))) as folder from own)
         select folder, sum((own = folder)::int)::bigint as notes, count(*) as below from rows group by folder""",
     "page_after": f"with {NOTES} select path, title from catalog where path > 'entities/' order by path limit 200",
+    "page_summary": f"""with {NOTES}, p as (select path from catalog where path > 'entities/' order by path limit 20)
+        select count(path) as total, count(*) filter (where path > 'entities/') as left, count(*) filter (where path > 'entities/') > 20 as truncated, case when count(*) filter (where path > 'entities/') > 20 then (select max(path) from p) end as next from catalog""",
     "category_listing": f"""with {NOTES}, lines as (select coalesce(category, 'Uncategorised') as category,
           '- [[' || regexp_replace(path, '\\.md$', '') || ']]' || case when coalesce(summary, '') <> '' then ' - ' || summary else '' end as line from catalog)
         select category, count(*) as notes, sum(('0x' || substr(sha256(line), 1, 8))::bigint)::bigint as digest from lines group by category""",

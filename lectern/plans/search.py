@@ -35,6 +35,12 @@ def search_literal(spark: SparkSession, directory: str) -> DataFrame:
     return search.search_hits(search.search_features(notes_with_bodies(spark, directory)), every_hundredth_title(spark, directory), stemmed=False)
 
 
+def literal_hits(spark: SparkSession, directory: str) -> DataFrame:
+    """The heading of every hundredth section, as it stands on a line."""
+    asked = read_table(spark, directory, "section_slice").filter("section_id % 100 = 0").groupBy(F.col("section_id").alias("query_id")).agg(F.max("heading").alias("query"))
+    return search.literal_hits(search.search_features(notes_with_bodies(spark, directory)), asked)
+
+
 def search_phrases(spark: SparkSession, directory: str) -> DataFrame:
     """The last three words of the longest line of every hundredth content, in any script, among pages that don't only list others, with the tag of half of them."""
     contents = read_table(spark, directory, "note_content").filter("content_id % 100 = 0 and content <> ''").groupBy("content_id").agg(F.max("content").alias("content"))
@@ -77,7 +83,7 @@ def corrected_titles(spark: SparkSession, directory: str) -> DataFrame:
     return search.corrected_tokens(words.filter("word rlike '^[a-z]+$'").select(swapped.alias("token")), words, 1)
 
 
-QUERIES = {"query_tokens": query_tokens, "search_literal": search_literal, "search_phrases": search_phrases, "search_ranked": search_ranked, "corrected_titles": corrected_titles}
+QUERIES = {"query_tokens": query_tokens, "search_literal": search_literal, "literal_hits": literal_hits, "search_phrases": search_phrases, "search_ranked": search_ranked, "corrected_titles": corrected_titles}
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in search.STOPWORDS) + "]"
 _WORDS = f"""with {NOTES}, words as (
@@ -98,6 +104,12 @@ SQL = {
             array_to_string(list_filter(list_transform(coalesce(tags, []), lambda t: {sql_folded('t')}), lambda t: t <> ''), ' '))) as text from catalog left join bodies on note_path = path),
         asked as (select note_id as query_id, list_distinct(list_filter(regexp_split_to_array(lower(title), '{SPACE_CLASS}+'), lambda w: w <> '' and not list_contains({_STOP}, w))) as tokens from catalog where note_id % 100 = 0),
         {_MATCHED.format(where="len(tokens) > 0")}""",
+    "literal_hits": f"""with {NOTES},
+        once as (select distinct note_path, start_line, section_id, content from section_slice where content is not null),
+        bodies as (select note_path, string_agg(content, chr(10) order by start_line nulls first, section_id nulls first, content) as body from once group by note_path),
+        asked as (select section_id as query_id, lower(trim(max(heading), {SQL_SPACES})) as q from section_slice where section_id % 100 = 0 group by section_id),
+        found as (select query_id, note_id, len(list_filter(string_split(lower(body), chr(10)), lambda x: contains(x, q))) as lines from asked, (select note_id, body from catalog join bodies on note_path = path) where q <> '')
+        select * from found where lines > 0""",
     "search_phrases": f"""with c as (select content_id, max({{'c': content, 'p': path, 'n': name}}) as x from note_content where content_id is not null group by content_id),
         texts as (select content_id as note_id, x.p as path, x.c as body, contains(x.c, 'area') or content_id % 3 = 0 as tagged, lower(concat_ws(chr(10), x.c, x.n, '', '', case when contains(x.c, 'area') or content_id % 3 = 0 then 'area/search' else '' end)) as text from c),
         q as (select content_id, max(content) as content from note_content where content_id % 100 = 0 and content <> '' group by content_id),

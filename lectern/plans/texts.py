@@ -102,8 +102,8 @@ SQL = {
     "front_matter": f"""select doc_id, {_FIELD("title")} as title, {_FIELD("updated")} as updated, length(regexp_extract(text, '{_BLOCK}', 2)) as body_chars,
         array_to_string(list_filter(list_transform(string_split(regexp_replace(coalesce({_FIELD("tags")}, ''), '^\\[|\\]$', '', 'g'), ','), lambda t: lower(trim(t, {SQL_SPACES}))), lambda t: t <> ''), ',') as tags
         from documents where regexp_matches(text, '{_BLOCK}')""",
-    "wikilinks": rf"""select distinct doc_id, trim(unnest(regexp_extract_all(text, '(!?)\[\[([^\]|\[\r\n]+)(?:\|[^\]\[\r\n]+)?\]\]', 2)), {SQL_SPACES}) as target,
-        unnest(regexp_extract_all(text, '(!?)\[\[([^\]|\[\r\n]+)(?:\|[^\]\[\r\n]+)?\]\]', 1)) = '!' as embed from documents""",
+    "wikilinks": rf"""select distinct doc_id, trim(unnest(regexp_extract_all(text, '{texts.LINK}', 2)), {SQL_SPACES}) as target,
+        unnest(regexp_extract_all(text, '{texts.LINK}', 1)) = '!' as embed from documents""",
     "inline_tags": r"select distinct doc_id, lower(unnest(regexp_extract_all(text, '#([0-9A-Za-z_/\-]+)', 1))) as tag from documents",
     "outline": f"with {_HEADS} select doc_id, line::int as line, level::int as level, heading from headings where level <= 3",
     "sections": f"""with {_HEADS},

@@ -73,6 +73,13 @@ def write_days(rows: DataFrame, at: str, folder: str) -> None:
     rows.withColumn("day", F.to_date(at)).write.mode("append").partitionBy("day").json(folder)
 
 
+def read_days(spark: SparkSession, folder: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of JSON lines of a schema, and `line` of those that can't be read."""
+    parsed = F.from_json("value", f"{schema}, unread string", {"columnNameOfCorruptRecord": "unread"})
+    rows = spark.read.text(folder).filter(F.trim("value") != "").select("value", parsed.alias("row"))
+    return rows.filter("row.unread is null").select("row.*").drop("unread"), rows.filter("row.unread is not null").select(F.col("value").alias("line"))
+
+
 def write_version(rows: DataFrame, folder: str, version: int) -> str:
     """Writes a new version beside the older ones; an existing one is never overwritten."""
     rows.write.mode("errorifexists").parquet(target := f"{folder}/version={version:08d}")

@@ -12,14 +12,22 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def cut_lineage(frame: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that `spark.checkpoint.dir` names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that `spark.checkpoint.dir` names; on one machine, where it names none, a temporary one.
 
-    Where the session names none (tests on one machine), a temporary folder is set.
-    The files outlive any executor, so a lost one costs no recomputation.
+    On a cluster a folder of one machine can't be read by the others, so there it must be named.
     """
-    context = frame.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix="lectern-")
+
+
+def cut_lineage(frame: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder. The files outlive any executor, so a lost one costs no recomputation."""
+    spark = frame.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return frame.checkpoint()

@@ -34,6 +34,10 @@ def test_sinks(spark, tmp_path):
     notes.write_days(rows, "at", f"{tmp_path}/log")
     notes.write_days(rows, "at", f"{tmp_path}/log")
     assert {(str(r.day), r.n) for r in spark.read.json(f"{tmp_path}/log").groupBy("day").agg(F.count("*").alias("n")).collect()} == {("2025-01-01", 2), ("2025-01-02", 2)}
+    (tmp_path / "log" / "day=2025-01-03").mkdir()
+    (tmp_path / "log" / "day=2025-01-03" / "x.json").write_text('{"id": 3}\nnot json\n')
+    good, bad = notes.read_days(spark, f"{tmp_path}/log", "id long")
+    assert sorted(r.id for r in good.collect()) == [1, 1, 2, 2, 3] and [r.line for r in bad.collect()] == ["not json"]
     target = notes.write_version(rows, str(tmp_path), 1)
     assert spark.read.parquet(target).count() == 2
     with pytest.raises(Exception, match="exists"):
