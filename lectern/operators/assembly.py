@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import estimated_tokens, trimmed
 from lectern.operators.bundles import BUDGET, SIMILAR, filled, shingle_classes, similar_texts
 from lectern.operators.listings import neighbours_of_items
-from lectern.operators.texts import best_sections, body_of
+from lectern.operators.texts import SHINGLE, best_sections, body_of, words_of
 from lectern.sources.tables import cut_lineage
 
 # Characters shown of a note beside a found one, and of a note without summary and fitting section.
@@ -47,12 +47,12 @@ def settled_repeats(items: DataFrame, similar: float = SIMILAR) -> DataFrame:
 
     items: `call_id, item_id, score, heading, text`. In order of score, then item, an
     item repeats the first kept one with its heading (where it has one) or with a text
-    whose five-word shingles overlap by `similar` or more; texts without words repeat
-    nothing by their text. Items whose every rival is settled are settled together,
+    whose five-word shingles overlap by `similar` or more; texts of fewer words than
+    that repeat nothing by their text. Items whose every rival is settled are settled together,
     in as many rounds as repeats hang on each other.
     """
     order = Window.partitionBy("call_id").orderBy(F.desc_nulls_last("score"), "item_id")
-    texts = items.select("item_id", "text").distinct()
+    texts = items.select("item_id", "text").distinct().filter(F.size(words_of(F.col("text"))) >= SHINGLE)
     classes = shingle_classes(texts, "item_id", "text")
     placed = items.select("call_id", "item_id", F.nullif("heading", F.lit("")).alias("heading"), F.row_number().over(order).alias("place")).join(classes, "item_id", "left")
     rows = cut_lineage(placed.withColumn("kept", F.lit(None).cast("boolean")))  # read each round

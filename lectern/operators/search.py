@@ -103,9 +103,9 @@ def search_features(notes: DataFrame) -> DataFrame:
 
 
 def _pieces(words: DataFrame) -> DataFrame:
-    """`word, piece`: all distinct pieces of 1 to 3 characters, in time linear in the word's length."""
+    """`id, piece`: all distinct pieces of 1 to 3 characters of each word `id, word`, in time and space linear in the word's length."""
     piece = lambda n: F.transform("letters", lambda _, i: F.array_join(F.slice("letters", i + 1, n), ""))
-    return words.select("word", F.split("word", "").alias("letters")).select("word", F.explode(F.array_distinct(F.concat(piece(1), piece(2), piece(3)))).alias("piece"))
+    return words.select("id", F.split("word", "").alias("letters")).select("id", F.explode(F.array_distinct(F.concat(piece(1), piece(2), piece(3)))).alias("piece"))
 
 
 def matching_words(tokens: DataFrame, words: DataFrame, stemmed: bool = True) -> DataFrame:
@@ -114,9 +114,9 @@ def matching_words(tokens: DataFrame, words: DataFrame, stemmed: bool = True) ->
     Joined on a piece of up to three characters the token begins with, so that
     only words with that piece are looked at.
     """
-    asked = tokens.select("token").distinct()
-    holding = _pieces(words).join(asked.withColumn("piece", F.substring("token", 1, 3)), "piece").filter(F.contains("word", "token"))
-    found = holding.select("token", "word")
+    asked, numbered = tokens.select("token").distinct(), words.select(F.xxhash64("word").alias("id"), "word")
+    near = _pieces(numbered).join(asked.withColumn("piece", F.substring("token", 1, 3)), "piece").select("id", "token")
+    found = near.join(numbered, "id").filter(F.contains("word", "token")).select("token", "word")
     if stemmed:
         runs = words.select("word", F.explode(F.array_distinct(words_of(F.col("word")))).alias("run"))
         one = lambda frame, name: frame.select(name).distinct().withColumn("stem", stems(F.array(name))[0])
@@ -247,14 +247,19 @@ def _in_bodies(features: DataFrame, asked: DataFrame) -> DataFrame:
     as_word = lambda v: F.nullif(F.position(F.concat(F.lit(" "), v, F.lit(" ")), F.col("body_words")), F.lit(0))
     on_line = lambda x, line: F.contains(line["line"], x["t"]) | F.exists(x["forms"], lambda v: F.contains(line["words"], F.concat(F.lit(" "), v, F.lit(" "))))
 
-    def of_token(x: Column) -> Column:
+    def placed(x: Column) -> Column:
         place = F.when(F.contains(F.col("body"), x["t"]), F.position(x["t"], F.col("body"))).otherwise(F.array_min(F.transform(x["forms"], as_word)))
+        return F.struct(x["t"].alias("t"), x["forms"].alias("forms"), place.alias("place"))
+
+    def of_token(x: Column) -> Column:
         at = F.filter(F.transform("lines", lambda line, i: F.when(on_line(x, line), F.struct(i.alias("i"), line["heading"].alias("heading")))), lambda v: v.isNotNull())
-        return F.struct(x["t"].alias("t"), x["forms"].alias("forms"), place.alias("place"), at.alias("at"))
+        nowhere = F.array().cast("array<struct<i: int, heading: boolean>>")
+        return F.struct(x["t"].alias("t"), x["forms"].alias("forms"), x["place"].alias("place"), F.when(x["place"].isNotNull(), at).otherwise(nowhere).alias("at"))
 
-    found = wanted.select("note_id", F.inline(F.transform("asked", of_token)))
+    found = wanted.withColumn("asked", F.transform("asked", placed)).select("note_id", F.inline(F.transform("asked", of_token)))
+    rows = asked.join(found, ["note_id", "t", "forms"])
     heads = F.transform(F.filter("at", lambda v: v["heading"]), lambda v: v["i"])
-    rows = asked.join(found, ["note_id", "t", "forms"]).select("*", F.transform("at", lambda v: v["i"]).alias("at_lines"), heads.alias("heads"))
+    rows = rows.select("*", F.transform("at", lambda v: v["i"]).alias("at_lines"), heads.alias("heads"))
     mine = lambda c: F.when(F.col("own"), F.col(c))
     by = rows.groupBy("query_id", "note_id").agg(
         F.collect_list(mine("heads")).alias("heads"), F.collect_list(mine("at_lines")).alias("at_lines"), F.min(mine("place")).alias("first"), F.max(mine("place")).alias("last"),
@@ -267,15 +272,15 @@ def _in_bodies(features: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def _forms(asked: DataFrame, features: DataFrame) -> DataFrame:
-    """`query_id, forms`: each token with the words of all bodies that share its stem; queries of one token have none.
+    """`query_id, forms`: each token with the words of all bodies that share its stem and don't hold it; queries of one token have none.
 
     Found once per stem, not once per note.
     """
-    words = features.select(F.explode(words_of(F.col("body"))).alias("word")).distinct().withColumn("s", stems(F.array("word"))[0])
+    words = features.select(F.explode(F.array_distinct(words_of(F.col("body")))).alias("word")).distinct().withColumn("s", stems(F.array("word"))[0])
     tokens = asked.select("query_id", F.size("q").alias("size"), F.posexplode("q").alias("at", "x")).select("query_id", "size", "at", "x.t", "x.s")
     by_stem = words.join(tokens.select("s").distinct(), "s").groupBy("s").agg(F.sort_array(F.collect_set("word")).alias("found"))
     none = F.array().cast("array<string>")
-    formed = tokens.join(by_stem, "s", "left").withColumn("forms", F.when(F.col("size") > 1, F.coalesce("found", none)).otherwise(none))
+    formed = tokens.join(by_stem, "s", "left").withColumn("forms", F.when(F.col("size") > 1, F.filter(F.coalesce("found", none), lambda v: ~F.contains(v, F.col("t")))).otherwise(none))
     return formed.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "t", "s", "forms"))), lambda x: F.struct(x["t"].alias("t"), x["forms"].alias("forms"))).alias("forms"))
 
 

@@ -28,7 +28,7 @@ def test_repeats_against_greedy(spark):
     base = [" ".join(random.choices("a b c d e f g h i".split(), k=30)) for _ in range(6)]
     texts = base + [t.rsplit(" ", n)[0] for t in base for n in (1, 2, 3, 5, 8)] + [" ".join(t.split()[n:]) for t in base for n in (1, 2, 3)] + ["", None, "one", "one"]
     rows = [(f"c{random.randint(0, 2)}", i, float(random.randint(0, 9)), random.choice([None, None, "", "H", "K", f"u{i}"]), random.choice(texts)) for i in range(160)]
-    runs = lambda t: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").split()) else set()
+    runs = lambda t: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if (w := (t or "").split()) else set()
     want = {}
     for call in {r[0] for r in rows}:
         kept = []

@@ -212,8 +212,10 @@ def test_fields(spark):
     merged = fields.stamped(fields.merged_fields(fields.as_map(F.col("json")), F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit(None).cast("string"), F.lit("constructor"), F.lit("z"))), F.lit("now"))
     assert [r[0] for r in rows.select(fields.flat(merged)).collect()] == ["b=2\ncreated=now\nupdated=now"] * 3
     assert [tuple(r) for r in fields.provenance(rows, "id", "text").collect()] == [(1, 1, 0)]
-    assert [tuple(r) for r in fields.scrubbed(rows, "id", "text").collect()] == [(1, 1, "x^[inferred] y [[l]]")]
+    assert [tuple(r) for r in fields.scrubbed(rows, "id", "text").collect()] == [(1, 1, "x^[inferred] \ufffdy [[l]]")]  # replaced, not left out, as in the logs it guards
     assert [tuple(r) for r in fields.link_places(rows, "id", "text").collect()] == [(1, 1, 17, "[[l]]")]
+    several = spark.createDataFrame([(1, "a [[x]] ![[x]]\n[[y|z]]")], "id long, text string")
+    assert [tuple(r) for r in fields.link_places(several, "id", "text").collect()] == [(1, 1, 3, "[[x]]"), (1, 1, 9, "![[x]]"), (1, 2, 1, "[[y|z]]")]
     keys = spark.createDataFrame([(" C:\\a//b/ ",), ("/",)], "s string").select(fields.source_key(F.col("s"))).collect()
     assert [r[0] for r in keys] == ["C:/a/b", "/"]
     sizes = spark.createDataFrame([(1, 1, "x" * 10), (1, 2, "x" * 4), (1, 3, None)], "id long, v int, t string")
