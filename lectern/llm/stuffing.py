@@ -8,7 +8,7 @@ segments: a line that reads as sentences, or a run of other lines. In a segment'
 information pairs that only the page itself uses count nothing, and pairs repeated
 excessively count against it. Where the mean is far below that of the whole collection
 the segment is stuffed; nothing else makes it so. Layout only exempts: logs, code and
-tables are not judged, and in sentences a pair may come back once a sentence. A page
+tables are not judged, and in sentences, and in scripts without spaces, a pair may come back once a sentence. A page
 is a case where more than half of its characters stand in stuffed segments.
 
 The counts are of all pages, copies of a text once, and of all words, however rare.
@@ -55,6 +55,7 @@ _MARKS = regex.compile(r"\p{M}+")
 _HOST = re.compile(r"(?:https?://|www\.)[^\s/()\[\]<>]*")
 #: Words; in scripts without spaces each character is one.
 _UNSPACED = "\u3040-\u30ff\u3400-\u9fff"
+_FIRST, _LAST = "\u3040", "\u9fff"
 _TOKEN = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
 _TOKEN_OR_LINE = re.compile(_TOKEN.pattern + r"|\n")
 _UNUSUAL = re.compile(r"[^\x00-\x7f]+")
@@ -105,11 +106,13 @@ class Spellings(dict):
     def __init__(self) -> None:
         super().__init__()
         self.hashes: list[int] = []
+        self.unspaced: list[bool] = []
 
     def __missing__(self, token: str) -> int:
         self[token] = found = len(self.hashes) if token.isalpha() else -1
         if found >= 0:
             self.hashes.append(xxhash.xxh3_64_intdigest(token))
+            self.unspaced.append(_FIRST <= token[0] <= _LAST)
         return found
 
     def hashed(self, numbers: np.ndarray) -> np.ndarray:
@@ -254,6 +257,9 @@ def judged(texts: list[str], known: Known, decide: float | None = None) -> pa.Re
     spellings = Spellings()
     number = _numbers(tokens, spellings)
     segment = np.repeat(np.arange(segments), length)
+    # characters come back far more often than words, so runs of them may repeat as sentences may
+    unspaced = np.array([*spellings.unspaced, False])[number]  # -1 is the last
+    prose |= np.bincount(segment, unspaced, segments) > 0.5 * length
     pair = np.flatnonzero((number[:-1] >= 0) & (number[1:] >= 0) & (segment[:-1] == segment[1:]))
     of_segment, code = segment[pair], number[pair] * max(len(spellings.hashes), 1) + number[pair + 1]
     count = np.bincount(of_segment, minlength=segments)
