@@ -47,7 +47,7 @@ QUERIES: dict[str, Query] = {
     "covered_from_hubs": _on_both(lambda n, links: c.covered_from(n.filter("lower(category) = 'concepts'").select("path"), links)),
     "tag_counts": _on_catalog(c.tag_counts),
     "spelling_vocabulary": _on_catalog(c.spelling_vocabulary),
-    "notes_with_all_tags": _on_catalog(lambda n: c.with_all_tags(n, ["reference", "area/naming"]).select("path", F.size("tags").alias("tags"))),
+    "notes_with_all_tags": _on_catalog(lambda n: c.with_all_tags(n, ["meeting", "status-note"]).select("path", F.size("tags").alias("tags"))),
     "folders": _on_catalog(c.folders),
     "page_after": _on_catalog(lambda n: c.page_after(n.select("path", "title"), "path", "entities/", 200)),
     "page_summary": _on_catalog(lambda n: c.page_summary(n.select("path", "title"), "path", "entities/", 20)),
@@ -121,7 +121,7 @@ SQL = {
     "spelling_vocabulary": f"""with {NOTES}, words as (
         select distinct note_id, unnest(regexp_split_to_array(lower(concat_ws(' ', title, basename, array_to_string(tags, ' '))), '[\\s\\-_/]+')) as word from catalog)
         select word, count(*) as notes from words where length(word) >= 4 group by word""",
-    "notes_with_all_tags": f"with {NOTES} select path, len({_TAGS}) as tags from catalog where list_has_all({_TAGS}, ['reference', 'area/naming'])",
+    "notes_with_all_tags": f"with {NOTES} select path, len({_TAGS}) as tags from catalog where list_has_all({_TAGS}, ['meeting', 'status-note'])",
     "folders": f"""with {NOTES}, own as (select {_FOLDER} as p from catalog),
         rows as (select array_to_string(p, '/') as own, unnest(list_transform(range(0, 1 + len(p)), lambda i: array_to_string(p[1:i], '/'))) as folder from own)
         select folder, sum((own = folder)::int)::bigint as notes, count(*) as below from rows group by folder""",

@@ -89,7 +89,7 @@ QUERIES = {
 
 _BLOCK = r"(?s)^---\r?\n(.*?)\r?\n---(?:\r?\n(.*))?\z"
 _FIELD = lambda name: f"nullif(trim(regexp_extract(regexp_extract(text, '{_BLOCK}', 1), '(?m)^{name}:[ \\t]*(.*)$', 1), {SQL_SPACES}), '')"
-_HEADS = r"""
+HEADS = r"""
 heads as (
   select doc_id, line, length(regexp_extract(content, '^(#{1,6})[ \t]+(.*[^ \t\r])[ \t\r]*$', 1)) as level, regexp_extract(content, '^(#{1,6})[ \t]+(.*[^ \t\r])[ \t\r]*$', 2) as heading
   from (select doc_id, unnest(string_split(text, chr(10))) as content, generate_subscripts(string_split(text, chr(10)), 1) as line from documents where text is not null)
@@ -105,8 +105,8 @@ SQL = {
     "wikilinks": rf"""select distinct doc_id, trim(unnest(regexp_extract_all(text, '{texts.LINK}', 2)), {SQL_SPACES}) as target,
         unnest(regexp_extract_all(text, '{texts.LINK}', 1)) = '!' as embed from documents""",
     "inline_tags": r"select distinct doc_id, lower(unnest(regexp_extract_all(text, '#([0-9A-Za-z_/\-]+)', 1))) as tag from documents",
-    "outline": f"with {_HEADS} select doc_id, line::int as line, level::int as level, heading from headings where level <= 3",
-    "sections": f"""with {_HEADS},
+    "outline": f"with {HEADS} select doc_id, line::int as line, level::int as level, heading from headings where level <= 3",
+    "sections": f"""with {HEADS},
         bounded as (select h.doc_id, h.line, h.level, (select min(n.line) from headings n where n.doc_id = h.doc_id and n.line > h.line and n.level <= h.level) as next from headings h),
         ended as (select doc_id, line, level, coalesce(next - 1, len(string_split(text, chr(10)))) as end_line, string_split(text, chr(10)) as lines from bounded join documents using (doc_id))
         select doc_id, line::int as line, level::int as level, end_line::int as end_line, sha256(trim(array_to_string(lines[line:end_line], chr(10)), {SQL_SPACES})) as digest from ended""",

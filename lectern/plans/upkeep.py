@@ -9,6 +9,7 @@ from lectern.functions.text import SQL_SPACES, sql_key
 from lectern.operators import catalog, rules, scans, texts, upkeep, versions
 from lectern.plans.analytics import SECTIONS
 from lectern.plans.catalog import KEYS, NOTES, resolution_sql
+from lectern.plans.texts import HEADS
 from lectern.sources.tables import read_table
 
 # Phrases that say little.
@@ -136,6 +137,12 @@ SQL = {
         s as (select *, case when content is null then 'not_found' when section_id % 11 = 0 then 'hash_mismatch' when times < 1 then 'no_match' when times > 1 then 'ambiguous' when after_ is null then 'invalid'
           when not force and 2 * length(after_) < length(content) then 'shrinks' when not force and length(content) >= 1024 and length(after_) > 2 * length(content) then 'grows' else 'applied' end as status from a)
         select section_id, status, sha256(case when status = 'applied' then after_ else content end) as digest from s""",
+    "named_sections": f"""with {HEADS},
+        asked as (select unnest(['# Sources', 'background', 'To do ']) as asked, unnest(['sources', 'background', 'to do']) as name),
+        first as (select doc_id, asked, min(line) as line from headings join asked on lower(trim(heading, {SQL_SPACES})) = name group by all),
+        bounded as (select f.*, h.level, (select min(n.line) from headings n where n.doc_id = f.doc_id and n.line > f.line and n.level <= h.level) as next from first f join headings h on h.doc_id = f.doc_id and h.line = f.line),
+        ended as (select doc_id, asked, line, string_split(text, chr(10))[line:coalesce(next - 1, len(string_split(text, chr(10))))] as lines from bounded join documents using (doc_id))
+        select doc_id, asked, line::int as line, sha256(trim(array_to_string(lines, chr(10)), {SQL_SPACES})) as digest from ended""",
     "plain_findings": """with defs as (select distinct char from char_def where length(char) = 1), c as (select content_id, max({'c': content, 'f': frontmatter}).c as content from note_content where content_id is not null group by content_id),
         l as (select content_id, unnest(string_split(content, '')) as ch, generate_subscripts(string_split(content, ''), 1) as i from c where content <> ''),
         o as (select content_id, ch, coalesce(sum(case when unicode(ch) > 65535 then 2 else 1 end) over (partition by content_id order by i rows between unbounded preceding and 1 preceding), 0)::int as o from l)
