@@ -341,13 +341,15 @@ def rank(features: DataFrame, hits: DataFrame, queries: DataFrame, now: Column,
         "exact": exact, "title_hits": title_hits, "title_words": title_words, "path_hits": path_hits, "alias_hits": alias_hits, "compound": compound_hits, "primary": primary,
         "density": F.least(F.lit(1.0), specific / F.greatest(F.size("title_w"), F.lit(1))),
         "surface_hits": _count("sem", lambda x: text(x, "surface")),
+        "tag_parts": F.zip_with(F.flatten("tag_w"), "tag_s", lambda w, s: F.struct(w.alias("w"), s.alias("s"))),
     })
     p = c("primary")
     generic = p["t"].isin(GENERIC)
     supported = F.exists("sem", lambda x: (x["t"] != p["t"]) & (F.contains(c("title_n"), x["t"]) | of(x, "title") | (c("summary") != "") & text(x, "summary") | word(x, F.flatten("tag_w"), c("tag_s"))))
     weak = p.isNotNull() & generic & ~supported
     leading = p.isNotNull() & ~weak & F.exists("base_w", lambda v: F.startswith(v, p["t"]))
-    tag_hits = _count("tag_w", lambda parts: F.exists("q", lambda x: word(x, parts, F.array_intersect(F.col("tag_s"), F.array(x["s"])))))
+    of_parts = lambda parts: F.transform(F.filter("tag_parts", lambda z: F.array_contains(parts, z["w"])), lambda z: z["s"])
+    tag_hits = _count("tag_w", lambda parts: F.exists("q", lambda x: word(x, parts, of_parts(parts))))
     in_summary, in_tags = F.forall("q", lambda x: text(x, "summary")), F.forall("q", lambda x: word(x, F.flatten("tag_w"), c("tag_s")) | F.exists("tags", lambda t: F.contains(t, x["t"])))
     focused = (c("compound") >= 2) | (c("density") >= 0.4) | (c("heading_hits") > 0) | (c("heading_tokens") >= 2)
     span = c("last") - c("first")

@@ -205,6 +205,16 @@ def test_generic_names_and_hubs(spark):
     assert [got[1].score, got[2].score, got[2].place] == [99, 102, 1]
 
 
+def test_a_stem_in_one_tag_is_no_match_of_the_others(spark):
+    notes = spark.createDataFrame(
+        [(1, "a/x.md", "x", "Loads", ["deploying", "other", "third"], None, None, None, None, "y")],
+        "note_id long, path string, basename string, title string, tags array<string>, summary string, aliases array<string>, lifecycle string, updated string, body string",
+    )
+    queries, hits = spark.createDataFrame([(1, "deployed zz")], "query_id long, query string"), spark.createDataFrame([(1, 1)], "query_id long, note_id long")
+    (row,) = search.rank(search.search_features(notes), hits, queries, F.lit("2026-01-01").cast("timestamp")).collect()
+    assert row.signals["tags"] == 20
+
+
 def test_fields(spark):
     from lectern.operators import fields
 
