@@ -115,7 +115,7 @@ def rewritten_links(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def streamed_links(spark: SparkSession, directory: str) -> DataFrame:
-    return stream.drained(stream.daily_counts(stream.link_stream(spark, directory, "extracted_wikilink.parquet")), shared_folder(spark))
+    return stream.drained(stream.daily_counts(stream.table_stream(spark, directory, "extracted_wikilink")), shared_folder(spark))
 
 
 QUERIES = {

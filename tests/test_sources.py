@@ -54,6 +54,20 @@ def test_link_stream_counts_once_as_files_arrive(spark, tmp_path):
     assert {r.day.day: (r.links, r.embeds) for r in found} == {1: (24, 12), 2: (24, 12), 3: (12, 6)}
 
 
+def test_link_stream_of_a_table_in_one_file_in_many_and_in_none(spark, tmp_path):
+    from lectern.plans.analytics import streamed_links
+
+    start = datetime(2025, 1, 1)
+    rows = spark.createDataFrame([(i, "n", "t", i % 2 == 0, start + timedelta(hours=i), start) for i in range(60)], links.LINKS)
+    rows.repartition(3).write.parquet(f"{tmp_path}/many/extracted_wikilink.parquet")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/written")
+    (tmp_path / "one").mkdir()
+    next((tmp_path / "written").glob("part-*.parquet")).rename(tmp_path / "one" / "extracted_wikilink.parquet")
+    (tmp_path / "none" / "extracted_wikilink.parquet").mkdir(parents=True)
+    found = {d: {(r.day.day, r.links, r.embeds) for r in streamed_links(spark, f"{tmp_path}/{d}").collect()} for d in ("one", "many", "none")}
+    assert found == {"one": (days := {(1, 24, 12), (2, 24, 12), (3, 12, 6)}), "many": days, "none": set()}
+
+
 def test_lists_in_notes(spark):
     from lectern.sources import lists
 
