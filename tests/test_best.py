@@ -48,3 +48,22 @@ def test_best_hits_keep_the_mode_of_all_hits(spark):
     hits = {(r.query_id, r.note_id): (r.matched, r.mode) for r in search.search_hits(notes, queries).collect()}
     best = {(r.query_id, r.note_id): (r.matched, r.mode) for r in search.best_hits(search.note_blocks(notes), search.query_tokens(queries), 10_000).collect()}
     assert best == hits
+
+
+def test_bundles_rank_only_what_can_be_shown(spark, monkeypatch):
+    from lectern.operators import assembly, catalog
+    from lectern.plans import assembly as plans
+    from lectern.plans import search as search_plans
+    from lectern.sources.tables import read_table
+
+    directory, ranked, rank = "/root/testdata/sf0.01", [], search.rank
+    monkeypatch.setattr(search, "rank", lambda features, hits, *rest: ranked.append(hits.count()) or rank(features, hits, *rest))
+    found = plans.assembled_bundles(spark, directory).collect()
+    notes = search_plans.notes_with_bodies(spark, directory)
+    features, queries = search.search_features(notes), search_plans.every_hundredth_title(spark, directory)
+    hits = search.search_hits(features, queries, include_operational=False)
+    places = rank(features, hits, queries, F.lit("2026-01-01").cast("timestamp"))
+    links = catalog.resolved_links(read_table(spark, directory, "extracted_wikilink"), catalog.note_keys(notes))
+    every = assembly.assembled(places, search.query_tokens(queries), notes.select("path", "title", "summary", "lifecycle", "updated", "body"), plans._parts(spark, directory), links)
+    assert sorted(map(tuple, found)) == sorted(map(tuple, every.withColumn("text", F.sha2("text", 256)).collect())) and len(found) > 10
+    assert ranked[0] < hits.count()
